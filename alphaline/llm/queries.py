@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaline.llm import decontam, quality
+from alphaline.llm import decontam, lines, quality
 from alphaline.llm.shared import read_table
 
 
@@ -18,11 +18,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontam.ORACLE,
+    "op9_line_dedup": lines.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaline.llm import decontam, lines, quality, simhash
+from alphaline.llm import decontam, lines, quality, recompress, simhash
 from alphaline.llm.shared import read_table
 
 
@@ -14,6 +14,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.substring_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op9_line_dedup": op9_line_dedup,
@@ -35,5 +40,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontam.ORACLE,
+    "op2_substring_dedup": recompress.ORACLE,
     "op9_line_dedup": lines.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaline.llm import decontam, lines, quality, recompress, simhash
+from alphaline.llm import decontam, lines, quality, recompress, simhash, suffixes
 from alphaline.llm.shared import read_table
 
 
@@ -26,6 +26,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaline.llm import decontam, lines, quality, recompress, simhash, suffixes
+from alphaline.llm import decontam, lines, mixing, quality, recompress, simhash, suffixes
 from alphaline.llm.shared import read_table
 
 
@@ -34,6 +34,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_mixing_weights": op10_mixing_weights,
 }
 
 ORACLES: dict[str, str] = {

@@ -68,6 +68,11 @@ def by_id(ids: np.ndarray, names: np.ndarray) -> pa.Table:
     return pa.table({"id": pa.array(ids[firsts], pa.int64()), "payload": tc.binary_rows(names, np.append(firsts, len(ids)))})
 
 
+def short(names: np.ndarray) -> np.ndarray:
+    """32 bits of each name, enough to tell the names of one text apart in an answer."""
+    return (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _in_several_texts(table: pa.Table) -> pa.Table:
     names, ids = unpack(table, ids=np.int64)
     order = np.argsort(names, kind="stable")
@@ -75,7 +80,7 @@ def _in_several_texts(table: pa.Table) -> pa.Table:
     firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     several = np.minimum.reduceat(ids, firsts) < np.maximum.reduceat(ids, firsts)
     shared = np.repeat(several, np.diff(np.append(firsts, len(names))))
-    return by_id(ids[shared], names[shared])
+    return by_id(ids[shared], short(names[shared]))
 
 
 def _occurring_twice(table: pa.Table) -> pa.Table:
@@ -90,26 +95,27 @@ def _occurring_twice(table: pa.Table) -> pa.Table:
     return by_id(ids[keep], names[keep])
 
 
-def _repeats_of_earlier(table: pa.Table) -> pa.Table:
-    names, more, ids, places = unpack(table, more=np.uint32, ids=np.int64, places=np.int32)
-    order = np.lexsort((more, names))
-    names, more, ids, places = names[order], more[order], ids[order], places[order]
-    new = np.concatenate([[True], (names[1:] != names[:-1]) | (more[1:] != more[:-1])])
-    lowest = np.minimum.reduceat(ids, np.flatnonzero(new))
-    later = ids > lowest[np.cumsum(new) - 1]
-    return by_id(ids[later], places[later])
-
-
-def later_places(packed: DataFrame) -> DataFrame:
+def later_places(packed: DataFrame, shift: int = 0) -> DataFrame:
     """``(id, payloads)``: the places (int32) of names that a text with a smaller id also has.
 
-    The rows also carry 32 further bits of each name (``more``), the ``ids`` and ``places``.
+    The rows also carry 16 further bits of each name (``more``), the ``ids`` and ``places``.
+    Ids are compared without their lowest ``shift`` bits.
     """
-    return _answers(packed, _repeats_of_earlier)
+
+    def judge(table: pa.Table) -> pa.Table:
+        names, more, ids, places = unpack(table, more=np.uint16, ids=np.int64, places=np.int32)
+        order = np.lexsort((more, names))
+        names, more, ids, places = names[order], more[order], ids[order], places[order]
+        new = np.concatenate([[True], (names[1:] != names[:-1]) | (more[1:] != more[:-1])])
+        lowest = np.minimum.reduceat(ids >> shift, np.flatnonzero(new))
+        later = (ids >> shift) > lowest[np.cumsum(new) - 1]
+        return by_id(ids[later], places[later])
+
+    return _answers(packed, judge)
 
 
 def shared_names(packed: DataFrame) -> DataFrame:
-    """``(id, payloads)``: the names of each text that a text with another id also has."""
+    """``(id, payloads)``: the short names of each text that a text with another id also has."""
     return _answers(packed, _in_several_texts)
 
 

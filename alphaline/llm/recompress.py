@@ -9,7 +9,7 @@ symbol whose range lies inside a window stands in every occurrence of that windo
 1. The symbols of ``ROUNDS`` rounds are exchanged (packed); a text learns which of its
    symbols a text with another id also has.
 2. A window survives if every symbol determined inside it is shared in this way.
-   Survivors are named by 96 bits of two independent hashes of their words; this check
+   Survivors are named by 80 bits of two independent hashes of their words; this check
    decides.
 3. The words of the decided windows are removed.
 
@@ -17,7 +17,8 @@ The texts are shuffled once, by id, and the exchange is reused by steps 2 and 3.
 
 Defined results: null and empty texts have no words; windows never cross texts; rows that
 repeat a doc_id are judged one by one and never remove each other's words (no smaller id);
-a null doc_id neither removes nor loses words; an empty table gives an empty result.
+a null doc_id neither removes nor loses words; an empty table gives an empty result. Where
+ids repeat they are taken apart by low key bits, so ids must then leave these bits free.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaline.llm import packed
@@ -113,21 +114,14 @@ def _send_symbols(buckets: int):
     return run
 
 
-def _survivors(words, first_word, level, known_of) -> np.ndarray:
+def _survivors(words, first_word, level, told) -> np.ndarray:
     """Windows in which every determined symbol is shared with another text."""
     names, first, last, low, high = level
     n = len(words) - WIDTH + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     exchanged = np.flatnonzero((last - first + 1 >= MIN_SPAN) & (high - low < WIDTH))
-    known = np.zeros(len(exchanged), bool)
-    row_of = np.searchsorted(first_word[1:], first[exchanged], side="right")
-    cuts = np.searchsorted(row_of, np.arange(len(first_word)))
-    for r in range(len(first_word) - 1):
-        if cuts[r + 1] > cuts[r]:
-            told = known_of(r)
-            if len(told):
-                known[cuts[r] : cuts[r + 1]] = np.isin(names[exchanged[cuts[r] : cuts[r + 1]]], told)
+    known = np.isin(packed.short(names[exchanged]), told)
     unknown = exchanged[~known]
     # a window starting at s holds the symbol if s <= low and high <= s + WIDTH - 1
     steps = np.zeros(len(words) + 2, np.int32)
@@ -142,19 +136,22 @@ def _send_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = packed.Packer(buckets, "more", "ids", "places")
         for batch in batches:
+            if batch.column(0).null_count:
+                batch = batch.filter(batch.column(0).is_valid())
             data, offsets = tc.utf8(batch.column(1))
             answers = batch.column(2)
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             for row, stop, part, local in tc.chunks(data, offsets):
                 starts, ends, first_word, words, level = _level(part, local)
-                at = _survivors(words, first_word, level, lambda r, row=row: packed.answer(answers, row + r))
+                told = np.unique(np.concatenate([packed.answer(answers, r, np.uint32) for r in range(row, stop)]))
+                at = _survivors(words, first_word, level, told)
                 if not len(at):
                     continue
                 other = tc.window_hash(tc.word_hashes(part, starts, ends, 1), WIDTH, 1)[at]
                 row_of = np.searchsorted(first_word[1:], at, side="right")
                 yield from packer.add(
                     tc.window_hash(words, WIDTH)[at],
-                    (other >> np.uint64(32)).astype(np.uint32),
+                    (other >> np.uint64(48)).astype(np.uint16),
                     ids[row:stop][row_of],
                     (at - first_word[row_of]).astype(np.int32),
                 )
@@ -190,17 +187,28 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_text)`` for every row of ``docs(doc_id long, text)``."""
     spark = docs.sparkSession
     width = shuffle_partitions(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    symbols = source.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_send_symbols(width), packed.schema("ids"))
+    source, shift = _keyed(docs)
+    symbols = source.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text").mapInArrow(_send_symbols(width), packed.schema("ids"))
     known = packed.shared_names(symbols)
-    texts = source.repartition(width, "doc_id")
-    asked = texts.join(known.hint("shuffle_hash"), texts["doc_id"] == known["id"], "left").select("doc_id", "text", "payloads")
-    windows = asked.where("doc_id IS NOT NULL").mapInArrow(_send_windows(width), packed.schema("more", "ids", "places"))
-    decided = packed.later_places(windows)
-    final = texts.join(decided.hint("shuffle_hash"), texts["doc_id"] == decided["id"], "left").select("doc_id", "text", "payloads")
+    texts = source.repartition(width, "key")
+    asked = texts.join(known.hint("shuffle_hash"), texts["key"] == known["id"], "left").select("key", "text", "payloads")
+    windows = asked.mapInArrow(_send_windows(width), packed.schema("more", "ids", "places"))
+    decided = packed.later_places(windows, shift)
+    final = texts.join(decided.hint("shuffle_hash"), texts["key"] == decided["id"], "left").select("doc_id", "text", "payloads")
     return final.mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``(key, doc_id, text)`` and the key's shift: equal to doc_id unless ids repeat."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeats = source.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").agg(F.max("count")).first()[0]
+    if repeats is None:
+        return source.select(F.col("doc_id").alias("key"), "doc_id", "text"), 0
+    shift = int(repeats).bit_length()
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1
+    return source.select(F.shiftleft("doc_id", shift).bitwiseOR(place.cast("long")).alias("key"), "doc_id", "text"), shift
+
+
 def substring_report(docs: DataFrame) -> DataFrame:
     """Words, removed words and the digest of the words left, for each document."""
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

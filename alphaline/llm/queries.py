@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaline.llm import decontam, lines, mixing, quality, recompress, simhash, suffixes
+from alphaline.llm import decontam, lines, mixing, quality, recompress, simhash, suffixes, urls
 from alphaline.llm.shared import read_table
 
 
@@ -26,6 +26,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read_table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_url_filters": op7_url_filters,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing_weights": op10_mixing_weights,
@@ -51,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontam.ORACLE,
     "op2_substring_dedup": recompress.ORACLE,
+    "op7_url_filters": urls.ORACLE,
     "op9_line_dedup": lines.ORACLE,
 }

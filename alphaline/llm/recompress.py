@@ -191,7 +191,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     symbols = source.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text").mapInArrow(_send_symbols(width), packed.schema("ids"))
     known = packed.shared_names(symbols)
     texts = source.repartition(width, "key")
-    asked = texts.join(known.hint("shuffle_hash"), texts["key"] == known["id"], "left").select("key", "text", "payloads")
+    asked = texts.join(known.hint("shuffle_hash"), texts["key"] == known["id"], "left").select("key", "text", "payloads", "doc_id")  # the same columns as below: one exchange
     windows = asked.mapInArrow(_send_windows(width), packed.schema("more", "ids", "places"))
     decided = packed.later_places(windows, shift)
     final = texts.join(decided.hint("shuffle_hash"), texts["key"] == decided["id"], "left").select("doc_id", "text", "payloads")

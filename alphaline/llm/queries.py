@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaline.llm import decontam, lines, mixing, quality, recompress, simhash, suffixes, urls
+from alphaline.llm import decontam, lines, mixing, quality, recompress, simhash, suffixes, toolcalls, urls
 from alphaline.llm.shared import read_table
 
 
@@ -22,6 +22,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontam.ORACLE,
     "op2_substring_dedup": recompress.ORACLE,
+    "op4_chat_formatting": toolcalls.ORACLE,
     "op7_url_filters": urls.ORACLE,
     "op9_line_dedup": lines.ORACLE,
 }

@@ -320,9 +320,9 @@ def leading_run(spark, sf_dir):
     return numbered.groupBy("l_orderkey").agg(F.coalesce(F.min(F.when(F.col("l_quantity") < 20, F.col("rn"))) - 1, F.count(F.lit(1))).cast("long").alias("n_lead"))
 
 
-@query("SELECT lang, quantile_cont(n_chars, 0.1) AS p10, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90 FROM documents GROUP BY lang")
+@query("SELECT lang, round(quantile_cont(n_chars, 0.1), 6) AS p10, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90 FROM documents GROUP BY lang")
 def percentiles_size(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.percentile("n_chars", p).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.round(F.percentile("n_chars", p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
 
 
 SHARES = {"fr": 0.3, "es": 0.25}

@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from alphaline.llm import textcore as tc
+from alphaline.llm.shared import shuffle_partitions
 
 #: Names held by a map task before it sends them.
 FLUSH_NAMES = 1 << 21
@@ -88,17 +88,17 @@ def short(names: np.ndarray) -> np.ndarray:
     return (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _in_several_texts(table: pa.Table) -> pa.Table:
+def _in_several_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     names, ids = unpack(table, ids=np.int64)
     order = np.argsort(names, kind="stable")
     names, ids = names[order], ids[order]
     firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     several = np.minimum.reduceat(ids, firsts) < np.maximum.reduceat(ids, firsts)
     shared = np.repeat(several, np.diff(np.append(firsts, len(names))))
-    return by_id(ids[shared], short(names[shared]))
+    return ids[shared], short(names[shared])
 
 
-def _occurring_twice(table: pa.Table) -> pa.Table:
+def _occurring_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     names, ids = unpack(table, ids=np.int64)
     order = np.argsort(names, kind="stable")
     names, ids = names[order], ids[order]
@@ -107,44 +107,67 @@ def _occurring_twice(table: pa.Table) -> pa.Table:
     twice = np.repeat(counts > 1, counts)
     names, ids = names[twice], ids[twice]
     keep = np.concatenate([[True], (names[1:] != names[:-1]) | (ids[1:] != ids[:-1])]) if len(names) else np.zeros(0, bool)
-    return by_id(ids[keep], names[keep])
+    return ids[keep], names[keep]
 
 
 def later_places(packed: DataFrame, shift: int = 0) -> DataFrame:
-    """``(id, payloads)``: the places (int32) of names that a text with a smaller id also has.
+    """``(id, payload)``: the places (int32) of names that a text with a smaller id also has.
 
     The rows also carry 16 further bits of each name (``more``), the ``ids`` and ``places``.
     Ids are compared without their lowest ``shift`` bits.
     """
 
-    def judge(table: pa.Table) -> pa.Table:
+    def judge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         names, more, ids, places = unpack(table, more=np.uint16, ids=np.int64, places=np.int32)
         order = np.lexsort((more, names))
         names, more, ids, places = names[order], more[order], ids[order], places[order]
         new = np.concatenate([[True], (names[1:] != names[:-1]) | (more[1:] != more[:-1])])
         lowest = np.minimum.reduceat(ids >> shift, np.flatnonzero(new))
         later = (ids >> shift) > lowest[np.cumsum(new) - 1]
-        return by_id(ids[later], places[later])
+        return ids[later], places[later]
 
-    return _answers(packed, judge)
+    return _answers(packed, judge, np.int32)
 
 
 def shared_names(packed: DataFrame) -> DataFrame:
-    """``(id, payloads)``: the short names of each text that a text with another id also has."""
-    return _answers(packed, _in_several_texts)
+    """``(id, payload)``: the short names of each text that a text with another id also has."""
+    return _answers(packed, _in_several_texts, np.uint32)
 
 
 def repeated_names(packed: DataFrame) -> DataFrame:
-    """``(id, payloads)``: the names of each text that occur twice or more anywhere."""
-    return _answers(packed, _occurring_twice)
-
-
-def _answers(packed: DataFrame, judge) -> DataFrame:
-    told = packed.groupBy("bucket").applyInArrow(judge, "id bigint, payload binary")
-    return told.groupBy("id").agg(F.collect_list("payload").alias("payloads"))
+    """``(id, payload)``: the names of each text that occur twice or more anywhere."""
+    return _answers(packed, _occurring_twice, np.uint64)
+
+
+def _answers(packed: DataFrame, judge, kind: type) -> DataFrame:
+    """Judge every bucket and send what it says home: packed by a hash of the text's id first,
+    so that a bucket makes a row for each home and not for each text, then one row a text."""
+    homes = shuffle_partitions(packed.sparkSession)
+
+    def tell(table: pa.Table) -> pa.Table:
+        ids, found = judge(table)
+        home = tc.mix(ids.view(np.uint64)) % np.uint64(homes)
+        order = np.lexsort((ids, home))
+        ids, found, home = ids[order], found[order], home[order]
+        firsts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+        cuts = np.append(firsts, len(home))
+        return pa.table(
+            {
+                "home": pa.array(home[firsts].astype(np.int32)),
+                "ids": pa.array([_planes(ids[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
+                "found": tc.binary_rows(found, cuts),
+            }
+        )
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([_from_planes(raw, np.int64) for raw in table.column("ids").to_pylist()])
+        return by_id(ids, np.frombuffer(tc.utf8(table.column("found"))[0].tobytes(), kind))
+
+    told = packed.groupBy("bucket").applyInArrow(tell, "home int, ids binary, found binary")
+    return told.groupBy("home").applyInArrow(gather, "id bigint, payload binary")
 
 
 def answer(column: pa.Array, row: int, kind: type = np.uint64) -> np.ndarray:
     """What an answer's row holds; nothing for null."""
-    parts = column[row].as_py()
-    return np.frombuffer(b"".join(parts), kind) if parts else np.zeros(0, kind)
+    raw = column[row].as_py()
+    return np.frombuffer(raw, kind) if raw else np.zeros(0, kind)

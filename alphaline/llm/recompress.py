@@ -169,7 +169,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.zeros(len(words), bool)
             if places is not None and len(words) >= WIDTH:
                 flags = np.zeros(len(words) - WIDTH + 1, bool)
-                at = np.frombuffer(b"".join(places), np.int32)
+                at = np.frombuffer(places, np.int32)
                 flags[at[at < len(flags)]] = True
                 gone = tc.covered(flags, WIDTH, len(words))
             if gone.any():
@@ -191,10 +191,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     symbols = source.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text").mapInArrow(_send_symbols(width), packed.schema("ids"))
     known = packed.shared_names(symbols)
     texts = source.repartition(width, "key")
-    asked = texts.join(known.hint("shuffle_hash"), texts["key"] == known["id"], "left").select("key", "text", "payloads", "doc_id")  # the same columns as below: one exchange
+    asked = texts.join(known.hint("shuffle_hash"), texts["key"] == known["id"], "left").select("key", "text", "payload", "doc_id")  # the same columns as below: one exchange
     windows = asked.mapInArrow(_send_windows(width), packed.schema("more", "ids", "places"))
     decided = packed.later_places(windows, shift)
-    final = texts.join(decided.hint("shuffle_hash"), texts["key"] == decided["id"], "left").select("doc_id", "text", "payloads")
+    final = texts.join(decided.hint("shuffle_hash"), texts["key"] == decided["id"], "left").select("doc_id", "text", "payload")
     return final.mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 

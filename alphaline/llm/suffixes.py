@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchors = source.select("key", "text").mapInArrow(_send_anchors(width), packed.schema("ids"))
     repeated = packed.repeated_names(anchors)
     texts = source.repartition(width, "key")
-    asked = texts.join(repeated.hint("shuffle_hash"), texts["key"] == repeated["id"], "left").select("key", "text", "payloads", "doc_id")  # the same columns as below: one exchange
+    asked = texts.join(repeated.hint("shuffle_hash"), texts["key"] == repeated["id"], "left").select("key", "text", "payload", "doc_id")  # the same columns as below: one exchange
     segments = asked.mapInArrow(_send_segments, "name bigint, right binary, left binary, owners binary")
     shards = segments.repartition(width, "name").sortWithinPartitions("name", "right", "left")
     spans = shards.mapInArrow(_search_shards, "id bigint, payload binary").groupBy("id").agg(F.collect_list("payload").alias("spans"))

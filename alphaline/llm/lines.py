@@ -73,9 +73,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Adds ``__n_lines``, ``__n_removed`` and ``__sha256`` (of the text that is left).
     """
-    found = later_windows(docs)
+    found = later_windows(docs.select("doc_id", "text")).select(F.col("id").alias("__id"), F.col("tie").alias("__found_tie"), F.col("places").alias("__places"))
     tied = docs.withColumn("__tie", F.xxhash64("text"))
-    joined = tied.join(found, tied["doc_id"].eqNullSafe(found["id"]) & (tied["__tie"] == found["tie"]), "left").select(*[tied[c] for c in docs.columns], F.col("places").alias("__places"))
+    joined = tied.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__found_tie")), "left").select(*docs.columns, "__places")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_apply, f"{fields}, __n_lines bigint, __n_removed bigint, __sha256 string")
 

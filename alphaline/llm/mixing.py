@@ -66,7 +66,7 @@ def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[float]]:
     """The feature table ``(feature, w0..w3)`` of log-ratios to the background, and log priors."""
     sample = cut(labelled_sample(labels), "op10-sample")
-    terms = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).select("id", "domain", _terms(F.col("text")).alias("terms"))
+    terms = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id").select("id", "domain", _terms(F.col("text")).alias("terms"))
     # copies would make all their words evidence: of texts with equal least hashes one is used
     least = [F.array_min(F.transform("terms", lambda t, salt=salt: F.xxhash64(t, F.lit(salt)))).alias(f"least{salt}") for salt in (1, 2)]
     single = cut(terms.select("id", "domain", "terms", *least).groupBy("domain", "least1", "least2").agg(F.min_by("terms", "id").alias("terms")), "op10-texts")

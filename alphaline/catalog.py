@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaline.functions import alpha as al
+from alphaline.functions import schedule
 from alphaline.functions import text as tx
 from alphaline.operators import kernels, manifest, metrics, sampling
 from alphaline.sources.tables import table
+from alphaline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -359,3 +361,73 @@ def status_history(spark, sf_dir):
     before = F.lag("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
     watched = table(spark, sf_dir, "events").select("event_type", "ts", "value", before.alias("before"))
     return watched.groupBy("event_type").agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") <= F.col("before")).alias("stalls"))
+
+
+@query("SELECT p_partkey, CAST(least(3, 4000 - 3 * (rn - 1)) AS INT) AS n_copies FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part) WHERE 4000 - 3 * (rn - 1) > 0")
+def copy_budget(spark, sf_dir):
+    return sampling.budget_copies(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 3, 4000)
+
+
+@query(r"SELECT stem, count(DISTINCT url) AS n_paths, min(url) AS first_path FROM (SELECT url, regexp_extract(url, '([^/]+?)(\.[^./]*)?$', 1) AS stem FROM pages) GROUP BY stem HAVING count(DISTINCT url) > 1")
+def duplicate_stems(spark, sf_dir):
+    found = manifest.duplicate_stems(table(spark, sf_dir, "pages"), "url")
+    return found.select("stem", F.size("paths").cast("long").alias("n_paths"), F.col("paths")[0].alias("first_path"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY sha256('42:' || o_orderkey), o_orderkey LIMIT 100")
+def sample_in_order(spark, sf_dir):
+    return sampling.sample_in_order(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders")
+def global_row_number(spark, sf_dir):
+    return sampling.global_rank(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
+def first_occurrence(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").withColumn("less", -F.col("n_chars"))
+    return manifest.first_occurrence(rows, "source", "less", "doc_id").drop("less")
+
+
+@query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY l_returnflag")
+def running_weighted_mean(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(metrics.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 6).alias("mean"))
+
+
+@query(f"WITH {SCORED}, k AS (SELECT vec_id FROM embeddings ORDER BY sha256('42:' || vec_id), vec_id LIMIT 40) SELECT round(avg(sad_i), 6) AS mean, count(*) AS n FROM s WHERE model = 'binary' AND vec_id IN (SELECT vec_id FROM k)")
+def quick_eval(spark, sf_dir):
+    chosen = sampling.sample_n(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 40)
+    scored = metrics.score(scored_models(spark, sf_dir).where("model = 'binary'"), "vec_id")
+    return metrics.subset_mean(scored, chosen, "vec_id", "sad_i").select(F.round("mean", 6).alias("mean"), "n")
+
+
+@query("""SELECT p_size, round(0.0001::DOUBLE * sqrt(p_size * 2 / 4.0::DOUBLE), 12) AS rate, round(pow(0.9::DOUBLE, p_size), 9) AS decay, p_size > 40 AND p_size <= 50 AS reweight
+FROM (SELECT DISTINCT p_size FROM part)""")
+def training_schedule(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
+    return sizes.select("p_size", F.round(schedule.effective_rate(F.lit(0.0001), F.col("p_size"), F.lit(2)), 12).alias("rate"), F.round(schedule.decay(F.col("p_size")), 9).alias("decay"), schedule.reweight(F.col("p_size"), F.lit(50), F.lit(10)).alias("reweight"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS cell FROM pages""")
+def gallery_cells(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.html_escape(F.substring("html", 1, 200)).alias("cell"))
+
+
+@query("""WITH w AS (SELECT lang, CASE WHEN quality = 1 THEN 2 ELSE 1 END AS w FROM labels JOIN documents USING (doc_id))
+SELECT lang, round(sum(w) / (SELECT sum(w) FROM w), 9) AS share FROM w GROUP BY lang""")
+def expected_share(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("w", F.when(F.col("quality") == 1, 2).otherwise(1))
+    return sampling.expected_shares(rows, "lang", "w").select("lang", F.round("share", 9).alias("share"))
+
+
+@query(f"WITH {SCORED}, x AS (SELECT unnest(['binary', 'ghost']) AS model) SELECT x.model, count(s.model) AS n, count(s.model) > 0 AS present FROM x LEFT JOIN s USING (model) GROUP BY x.model")
+def present_models(spark, sf_dir):
+    wanted = spark.createDataFrame([("binary",), ("ghost",)], "model string")
+    counts = scored_models(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("k"))
+    return wanted.join(counts, "model", "left").select("model", F.coalesce("k", F.lit(0)).alias("n"), F.col("k").isNotNull().alias("present"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def status_growth(spark, sf_dir):
+    return jobs.growth(table(spark, sf_dir, "events"), "ts", "event_type").select("event_type", "start", "n")

@@ -110,3 +110,16 @@ def integrity(shards: DataFrame, total: int) -> DataFrame:
         F.coalesce(F.min("pairs") > 0, F.lit(True)).alias("counts_positive"),
         (F.coalesce(F.sum("pairs"), F.lit(0)) == F.lit(total)).alias("total_matches"),
     )
+
+
+def duplicate_stems(files: DataFrame, path: str) -> DataFrame:
+    """``(stem, paths)`` of the stems that several files share."""
+    named = files.select(tx.stem(F.col(path)).alias("stem"), F.col(path).alias("path"))
+    return named.groupBy("stem").agg(F.sort_array(F.collect_set("path")).alias("paths")).where("size(paths) > 1")
+
+
+def require_counts(rows: DataFrame, least: dict[str, tuple[Column, int]]) -> DataFrame:
+    """One row of counts by name; a count under its least raises when read."""
+    counts = rows.agg(*[F.count_if(test).alias(name) for name, (test, _) in least.items()])
+    checked = [F.when(F.col(name) >= n, F.col(name)).otherwise(F.raise_error(F.lit(f"fewer than {n} rows: {name}"))).alias(name) for name, (_, n) in least.items()]
+    return counts.select(*checked)

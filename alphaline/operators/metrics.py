@@ -102,3 +102,13 @@ def background_hinge(logit: Column, tau: float) -> Column:
 def background_bce(p: Column, eps: float = 1e-7) -> Column:
     """Cross-entropy of a background probability against zero."""
     return -F.ln(F.greatest(1 - p, F.lit(eps)))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """The mean of batch means, each weighted with its size."""
+    return F.sum(value * weight) / F.sum(weight)
+
+
+def subset_mean(scored: DataFrame, subset: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: the mean over the subset's rows that have a score; null if none has."""
+    return scored.join(subset.select(key).distinct(), key, "left_semi").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -29,7 +29,7 @@ def sample_n(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def split(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """``(key, split)``: ``max(1, round_half_even(n * share))`` validation rows by hash order.
 
-    The cut is found from a per-prefix histogram of the hashes rather than by a global window.
+    The last validation hash is found by a top-n, so no window spans the table.
     """
     hashed = rows.select(key, hash_order(F.col(key), seed).alias("__h"))
     n = hashed.count()
@@ -98,15 +98,25 @@ def first_n(rows: DataFrame, eligible: Column, n: int, *order: str) -> DataFrame
     return rows.where(eligible).orderBy(*order).limit(n)
 
 
+#: Keys sampled (by hash, in expectation) to cut a table into ranges.
+RANGE_SAMPLE = 4000
+
+
 def global_rank(rows: DataFrame, key: str) -> DataFrame:
     """``rank`` from 0 by ``key`` over the whole table, without sorting it in one task.
 
-    Rows are range-partitioned and numbered within partitions; the partitions' offsets, one
-    number each, come from a count.
+    Range bounds come from a hash sample of the keys, once, so every evaluation deals the same
+    rows to the same range; ranges are numbered apart and shifted by the counts before them.
     """
-    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    n = rows.count()
+    share = int(1_000_000 * min(1.0, RANGE_SAMPLE / max(n, 1))) + 1
+    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share).select(key).where(F.col(key).isNotNull()).collect()
+    known, width = sorted({r[0] for r in picked}), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = [known[i * len(known) // width] for i in range(1, width)] if len(known) >= width else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    dealt = rows.withColumn("__p", F.when(F.col(key).isNull(), -1).otherwise(bucket))
+    local = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
+    sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     return local.join(F.broadcast(offsets), "__p").withColumn("rank", F.col("__o") + F.col("__r") - 1).drop("__p", "__r", "__o")
 
@@ -150,3 +160,14 @@ def expected_shares(rows: DataFrame, category: str, weight: str) -> DataFrame:
     sums = rows.groupBy(category).agg(F.sum(weight).alias("w"))
     total = F.sum("w").over(Window.partitionBy(F.lit(1)))
     return sums.withColumn("t", total).where("t > 0").select(category, (F.col("w") / F.col("t")).alias("share"))
+
+
+def sample_in_order(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` random rows, back in the order of their keys."""
+    return sample_n(rows, key, n, seed).orderBy(key)
+
+
+def budget_copies(rows: DataFrame, key: str, each: int, total: int) -> DataFrame:
+    """``(key, n_copies)``: up to ``each`` copies of each row by key until ``total`` are dealt."""
+    left = F.lit(total) - F.col("rank") * each
+    return global_rank(rows.select(key), key).select(key, F.least(F.greatest(left, F.lit(0)), F.lit(each)).cast("int").alias("n_copies")).where("n_copies > 0")

@@ -27,18 +27,11 @@ def sample_n(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def split(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """``(key, split)``: ``max(1, round_half_even(n * share))`` validation rows by hash order.
-
-    The last validation hash is found by a top-n, so no window spans the table.
-    """
+    """``(key, split)``: ``max(1, round_half_even(n * share))`` validation rows by hash order."""
+    n = rows.count()
+    n_val = max(1, round(n * share)) if n else 0
     hashed = rows.select(key, hash_order(F.col(key), seed).alias("__h"))
-    n = hashed.count()
-    if n == 0:
-        return rows.select(key, F.lit("train").alias("split"))
-    n_val = max(1, round(n * share))
-    last = hashed.orderBy("__h", key).limit(n_val).agg(F.max(F.struct("__h", key)).alias("m")).first()["m"]
-    inside = (F.col("__h") < last[0]) | ((F.col("__h") == last[0]) & (F.col(key) <= last[1]))
-    return hashed.select(key, F.when(inside, "val").otherwise("train").alias("split"))
+    return global_rank(hashed, "__h").select(key, F.when(F.col("rank") < n_val, "val").otherwise("train").alias("split"))
 
 
 def persistent_split(rows: DataFrame, saved: DataFrame, key: str) -> DataFrame:

@@ -107,7 +107,7 @@ def _score(langs: list[str], table: np.ndarray, html: bool):
                 for k in range(len(langs)):
                     sums = np.concatenate([[0.0], np.cumsum(table[k][codes], dtype=np.float64)])
                     scores[:, k] = EVIDENCE * (sums[first[1:]] - sums[first[:-1]])
-                listed = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, max(len(langs), 1), dtype=np.int32)[: stop - row + 1] if langs else np.zeros(stop - row + 1, np.int32), pa.array(scores.ravel()))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(stop - row + 1, dtype=np.int32) * len(langs), pa.int32()), pa.array(scores.ravel()))
                 kept = [batch.column(i).slice(row, stop - row) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, declared.slice(row, stop - row), listed], names=[*batch.schema.names[:-1], "declared", "scores"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaline.functions import text as tx
@@ -46,9 +46,9 @@ def append_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def first_occurrence(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row of each key, the first by ``order``."""
-    place = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("__rn", F.row_number().over(place)).where("__rn = 1").drop("__rn")
+    """One row of each key, the first by ``order``; an aggregate, so hot keys combine early."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__first")
+    return rows.groupBy(F.col(key).alias("__key")).agg(first).select("__first.*")
 
 
 def one_sided(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

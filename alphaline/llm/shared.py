@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Only a single-JVM session (master ``local[...]``), as in tests, may go without the
-    setting; it then gets one temporary folder. Anywhere else a missing setting is an error.
+    setting; it then gets one temporary folder, removed at its end. Anywhere else a missing setting is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="alphaline-")
+        folder = tempfile.mkdtemp(prefix="alphaline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder[app] = f"file://{folder}"
     return _own_folder[app]
 
 

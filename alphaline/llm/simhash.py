@@ -190,10 +190,3 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def simhash_report(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of each document."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first_of_group(docs: DataFrame) -> DataFrame:
-    """The document with each component's smallest id; of rows repeating that id, one."""
-    first = near_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])

@@ -67,12 +67,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[float]]:
     """The feature table ``(feature, w0..w3)`` of log-ratios to the background, and log priors."""
     sample = cut(labelled_sample(labels), "op10-sample")
     terms = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id").select("id", "domain", _terms(F.col("text")).alias("terms"))
-    # copies would make all their words evidence: of texts with equal least hashes one is used
-    least = [F.array_min(F.transform("terms", lambda t, salt=salt: F.xxhash64(t, F.lit(salt)))).alias(f"least{salt}") for salt in (1, 2)]
-    single = cut(terms.select("id", "domain", "terms", *least).groupBy("domain", "least1", "least2").agg(F.min_by("terms", "id").alias("terms")), "op10-texts")
+    # copies would make all their words evidence: of texts with the same set of terms one is used
+    whole = F.sha2(F.concat_ws(" ", F.array_sort("terms")), 256).alias("whole")
+    single = cut(terms.select("id", "domain", "terms", whole).groupBy("domain", "whole").agg(F.min_by("terms", "id").alias("terms")), "op10-texts")
     sizes = {r["domain"]: r["count"] for r in single.groupBy("domain").count().collect()}
     total = sum(sizes.values())
-    priors = [float(np.log((sizes.get(k, 0) + 1) / (total + len(DOMAINS)))) for k in range(len(DOMAINS))]
+    rated = sample.join(docs.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").groupBy("domain").count().collect()
+    labelled = {r["domain"]: r["count"] for r in rated}
+    priors = [float(np.log((labelled.get(k, 0) + 1) / (sum(labelled.values()) + len(DOMAINS)))) for k in range(len(DOMAINS))]
     counts = single.select("domain", F.explode("terms").alias("word")).groupBy(_feature(F.col("word")).alias("feature")).agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))])
     of = [float(sizes.get(k, 0)) for k in range(len(DOMAINS))]
     every = sum(F.col(f"c{k}") for k in range(len(DOMAINS)))

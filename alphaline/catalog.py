@@ -136,6 +136,13 @@ def alpha_union(spark, sf_dir):
     return metrics.union_alpha(layers, "label", "pos", value="v").select("label", "pos", F.round("union_a", 6).alias("union_a"))
 
 
+@query(f"WITH {PIXELS} SELECT label, pos, round(sum(ln(1 - a / 2550.0)), 6) AS log_clear, round(1 - exp(sum(ln(1 - a / 2550.0))), 6) AS union_a FROM px GROUP BY label, pos")
+def alpha_union_all(spark, sf_dir):
+    """``alpha_union`` over every row; the logarithm tells large labels apart where the union nears 1."""
+    layers = pixels(spark, sf_dir).withColumn("v", F.col("a") / 2550.0)
+    return metrics.union_log(layers, "label", "pos", value="v").select("label", "pos", F.round("log_clear", 6).alias("log_clear"), F.round(1 - F.exp("log_clear"), 6).alias("union_a"))
+
+
 @query(f"WITH {PIXELS} SELECT label, pos, max(a) AS max_a FROM px GROUP BY label, pos")
 def instance_max_merge(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("label", "pos").agg(F.max("a").alias("max_a"))

@@ -78,6 +78,11 @@ def union_alpha(layers: DataFrame, *position: str, value: str) -> DataFrame:
     return layers.groupBy(*position).agg((1 - F.product(1 - F.col(value))).alias("union_a"))
 
 
+def union_log(layers: DataFrame, *position: str, value: str) -> DataFrame:
+    """The logarithm of ``product(1 - a)``, which no number of layers rounds to zero."""
+    return layers.groupBy(*position).agg(F.sum(F.ln(1 - F.col(value))).alias("log_clear"))
+
+
 def over_fold(layers: Column) -> Column:
     """Source-over of an ordered array of ``(z, value, alpha)`` structs, lowest z first."""
     return F.aggregate(F.array_sort(layers), F.lit(0.0), lambda below, top: top["alpha"] * top["value"] + (1 - top["alpha"]) * below)

@@ -421,6 +421,12 @@ def gallery_cells(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.html_escape(F.substring("html", 1, 200)).alias("cell"))
 
 
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS cell FROM pages""")
+def gallery_cells_whole(spark, sf_dir):
+    """``gallery_cells`` with the whole of each page."""
+    return table(spark, sf_dir, "pages").select("page_id", tx.html_escape(F.col("html")).alias("cell"))
+
+
 @query("""WITH w AS (SELECT lang, CASE WHEN quality = 1 THEN 2 ELSE 1 END AS w FROM labels JOIN documents USING (doc_id))
 SELECT lang, round(sum(w) / (SELECT sum(w) FROM w), 9) AS share FROM w GROUP BY lang""")
 def expected_share(spark, sf_dir):

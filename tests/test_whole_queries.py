@@ -11,3 +11,9 @@ def test_union_counts_every_layer(spark):
     whole = {(r.label, r.pos): r.union_a for r in catalog.QUERIES["alpha_union_all"](spark, DATA).collect()}
     part = {(r.label, r.pos): r.union_a for r in catalog.QUERIES["alpha_union"](spark, DATA).collect()}
     assert set(part) <= set(whole) and all(whole[k] >= part[k] for k in part) and sum(whole.values()) > sum(part.values())
+
+
+def test_gallery_cells_hold_whole_pages(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    cells = {r.page_id: r.cell for r in catalog.QUERIES["gallery_cells_whole"](spark, DATA).collect()}
+    assert cells == {k: html.escape(v) for k, v in pages.items()} and max(map(len, pages.values())) > 200

@@ -130,6 +130,19 @@ def bg_hinge_value(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("label").agg(F.round(F.avg(metrics.background_hinge(logit, 0.05)), 6).alias("loss"))
 
 
+@query(f"""WITH {SCORED}, q AS (SELECT model || ':' || vec_id AS k, model, label, pos // 8 AS y, pos % 8 AS x, pred[pos + 1] AS p, CASE WHEN gt[pos + 1] < 100 THEN 0 ELSE gt[pos + 1] END AS g FROM p, (SELECT unnest(range(64)) AS pos)),
+h AS (SELECT *, sum(CAST(g = 0 AS INT)) OVER w = count(*) OVER w AS hh FROM q WINDOW w AS (PARTITION BY k, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+e AS (SELECT *, sum(CAST(hh AS INT)) OVER w = count(*) OVER w AS e FROM h WINDOW w AS (PARTITION BY k, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+o AS (SELECT k AS ok FROM q GROUP BY k HAVING count(*) FILTER (g * 100 > 1275 AND g * 100 < 24225) / count(*) <= 0.8)
+SELECT model, label, count(ok) FILTER (e) AS n_bg, round(coalesce(avg(greatest((p / 255.0 - 0.5) * 8 - ln(0.05 / 0.95), 0)) FILTER (e AND ok IS NOT NULL), 0), 6) AS loss FROM e LEFT JOIN o ON k = ok GROUP BY model, label""")
+def bg_hinge_masked(spark, sf_dir):
+    """The hinge over eroded true background of the samples that pass the soft-ratio gate."""
+    zipped = scored_models(spark, sf_dir).select(F.concat_ws(":", "model", "vec_id").alias("k"), "model", "label", F.posexplode(F.arrays_zip("pred", "gt")).alias("pos", "z"))
+    truth = F.when(F.col("z.gt") < 100, 0).otherwise(F.col("z.gt"))
+    placed = zipped.select("k", "model", "label", F.floor(F.col("pos") / SIDE).cast("int").alias("y"), (F.col("pos") % SIDE).alias("x"), ((F.col("z.pred") / 255.0 - 0.5) * 8).alias("logit"), truth.alias("g"))
+    return metrics.hinge_loss(placed, "k", 1, 0.05, 0.8, "model", "label").select("model", "label", "n_bg", F.round("loss", 6).alias("loss"))
+
+
 @query(f"WITH {PIXELS} SELECT label, pos, round(1 - product(1 - a / 2550.0), 6) AS union_a FROM px WHERE vec_id % 25 = 0 GROUP BY label, pos")
 def alpha_union(spark, sf_dir):
     layers = pixels(spark, sf_dir).where("vec_id % 25 = 0").withColumn("v", F.col("a") / 2550.0)

@@ -104,6 +104,18 @@ def background_hinge(logit: Column, tau: float) -> Column:
     return F.greatest(logit - al.logit(F.lit(tau)), F.lit(0.0))
 
 
+def hinge_loss(pixels: DataFrame, key: str, radius: int, tau: float, max_soft_ratio: float, *keep: str) -> DataFrame:
+    """The mean hinge of ``pixels(key, y, x, logit, g)`` by ``keep`` over eroded exact background.
+
+    Samples whose truth ``g`` (8-bit) is softer than ``max_soft_ratio`` are exempt; zero where no background is left.
+    """
+    marked = erode(pixels.withColumn("b", (F.col("g") == 0).cast("int")), key, radius, True)
+    ratio = pixels.groupBy(key).agg((F.count_if(al.soft(F.col("g"))) / F.count(F.lit(1))).alias("__ratio"))
+    used = F.col("e") & (F.col("__ratio") <= max_soft_ratio)
+    hinge = F.coalesce(F.avg(F.when(used, background_hinge(F.col("logit"), tau))), F.lit(0.0))
+    return marked.join(ratio, key).groupBy(*keep).agg(F.count_if(used).alias("n_bg"), hinge.alias("loss"))
+
+
 def background_bce(p: Column, eps: float = 1e-7) -> Column:
     """Cross-entropy of a background probability against zero."""
     return -F.ln(F.greatest(1 - p, F.lit(eps)))

@@ -17,3 +17,14 @@ def test_gallery_cells_hold_whole_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     cells = {r.page_id: r.cell for r in catalog.QUERIES["gallery_cells_whole"](spark, DATA).collect()}
     assert cells == {k: html.escape(v) for k, v in pages.items()} and max(map(len, pages.values())) > 200
+
+
+def test_hinge_spares_foreground_edges_and_soft_samples(spark):
+    def sample(key, truth, logit):
+        return [(key, "m", y, x, logit, truth(x)) for y in range(5) for x in range(5)]
+
+    hard, soft = sample("hard", lambda x: 255 if x == 0 else 0, 2.0), sample("soft", lambda x: 128 if x < 2 else 0, 9.0)
+    pixels = spark.createDataFrame(hard + soft, "k string, model string, y int, x int, logit double, g int")
+    row = metrics.hinge_loss(pixels, "k", 1, 0.5, 0.03, "model").first()
+    assert (row.n_bg, row.loss) == (15, 2.0)
+    assert metrics.hinge_loss(pixels.where("k = 'soft'"), "k", 1, 0.5, 0.03, "model").first().loss == 0

@@ -288,6 +288,12 @@ def pair_audit(spark, sf_dir):
     return manifest.one_sided(table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query("SELECT CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM documents l FULL OUTER JOIN labels r ON l.doc_id = r.doc_id GROUP BY 1")
+def pair_audit_all(spark, sf_dir):
+    """``pair_audit`` of whole documents against whole labels."""
+    return manifest.one_sided(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
 @query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN d.doc_id % 4 = 0 THEN 'pending' WHEN l.doc_id IS NULL THEN 'add_row' ELSE 'skip' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY state")
 def reconcile_three_way(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")

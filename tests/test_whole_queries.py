@@ -28,3 +28,10 @@ def test_hinge_spares_foreground_edges_and_soft_samples(spark):
     row = metrics.hinge_loss(pixels, "k", 1, 0.5, 0.03, "model").first()
     assert (row.n_bg, row.loss) == (15, 2.0)
     assert metrics.hinge_loss(pixels.where("k = 'soft'"), "k", 1, 0.5, 0.03, "model").first().loss == 0
+
+
+def test_audit_covers_every_document_and_right_only(spark):
+    left, right = (spark.createDataFrame([(i,) for i in ids], "doc_id long") for ids in ((1, 2, 3), (3, 4)))
+    assert {r.side: r.n for r in manifest.one_sided(left, right, "doc_id").collect()} == {"left_only": 2, "right_only": 1, "both": 1}
+    found = {r.side: r.n for r in catalog.QUERIES["pair_audit_all"](spark, DATA).collect()}
+    assert found["left_only"] + found["both"] == spark.read.parquet(f"{DATA}/documents.parquet").count()

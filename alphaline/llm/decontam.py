@@ -4,28 +4,35 @@ Every benchmark item becomes windows of ``WINDOW`` consecutive words (a shorter
 window). A document contains a window only if it contains the window's rarest word, so one
 word per window - the necessary prefix of an exact containment, ordered by how often words
 occur in the whole corpus - is joined with the document words. Positional and length bounds
-drop alignments that would leave the document; the rest are verified word by word on the
-document's own array, in the same map stage. Only hits are shuffled.
+drop alignments that would leave the document; the rest are verified word by word. The
+documents are read twice: for the words' counts and for the hits.
 
-The window table is broadcast in blocks of at most ``MAX_BROADCAST_PAIRS`` (window, item)
-pairs; a larger benchmark takes several passes over the documents.
+Up to ``MAX_BROADCAST_PAIRS`` (window, item) pairs are broadcast and verified on the document's
+own array in the map stage. More are joined by a shuffle of the anchor words' occurrences, each
+with the ``2 * WINDOW - 1`` words around it, behind a bitmap of the anchor words (at most
+``2**MAX_BITMAP_BITS`` bits); AQE splits an anchor that is common in spite of its rank. In both
+ways the hits and one marker row for each document are then grouped by document.
 
 Defined results: null or empty texts have no words, are not contaminated and hash the empty
-item list; rows that repeat a doc_id are judged one by one; items without words or without an
-id are ignored; without items or documents the result is clean or empty.
+item list; texts of any length are judged whole; rows that repeat a doc_id, or are equal, are
+judged one by one; of words that are equally rare the first by name, then by place, is the
+anchor, which changes no result; items without words or without an id are ignored; without
+items or documents the result is clean or empty; of the tables' columns only ``doc_id``,
+``item_id`` and ``text`` are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaline.llm.shared import cut, lower_ascii
+from alphaline.llm.shared import cut, lower_ascii, shuffle_partitions
 
 WINDOW = 13
 MAX_BROADCAST_PAIRS = 50_000
+MAX_BITMAP_BITS = 26
+#: Digests of contaminated texts that are broadcast (32 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_TEXTS = 100_000
 #: Contaminated when at least one of this many words is hit.
 HIT_DIVISOR = 20
 
@@ -61,36 +68,74 @@ def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST_PAIRS else table
 
 
-def _hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Per document row one marker row, and a row for each verified window occurrence.
+def _marked(anchors: DataFrame, markers: int) -> DataFrame:
+    """The anchors that occur, and ``markers`` rows without a window for the documents' own rows.
+
+    A document's word 0 is the marker "#k": a hash sign is in no word.
+    """
+    marker = anchors.sparkSession.range(markers).select(F.concat(F.lit("#"), F.col("id")).alias("anchor"))
+    known = anchors.where("n > 0").select("anchor", "place", "window", "item_ids")
+    return known.unionByName(marker, allowMissingColumns=True)
+
+
+def _spread(docs: DataFrame, markers: int) -> DataFrame:
+    marker = F.array(F.concat(F.lit("#"), F.pmod("row_id", F.lit(markers))))
+    return docs.select("row_id", "key", "w", F.posexplode(F.concat(marker, F.col("w"))).alias("at", "word"))
+
+
+def _found(joined: DataFrame, first: Column, held: Column) -> DataFrame:
+    """The verified occurrences, and the documents' marker rows.
 
-    The marker joins an empty word at the array's head with the anchor table's empty row.
+    ``held`` are words of the document of which ``first`` is the place of the first.
     """
-    marker = anchors.sparkSession.createDataFrame([("", None, None, None)], anchors.select("anchor", "place", "window", "item_ids").schema)
-    table = anchors.where("n > 0").select("anchor", "place", "window", "item_ids").union(marker)
-    spread = docs.select("row_id", "doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("at", "word"))
-    joined = spread.join(F.broadcast(table), F.col("word") == F.col("anchor"))
     start = F.col("at") - F.col("place")
-    fits = (start >= 1) & (start + F.size("window") - 1 <= F.size("w"))
-    same = F.when(fits, F.slice("w", start, F.size("window")) == F.col("window"))
-    found = joined.where(F.col("window").isNull() | same)
-    return found.select("row_id", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("window").isNotNull(), F.struct(start.alias("s"), (start + F.size("window")).alias("e"))).alias("span"), "item_ids")
+    fits = (start >= 1) & (start + F.size("window") - 1 <= F.col("n_words"))
+    same = F.when(fits, F.slice(held, start - first + 1, F.size("window")) == F.col("window"))
+    span = F.when(F.col("window").isNotNull(), F.struct(start.alias("s"), (start + F.size("window")).alias("e")))
+    return joined.where(F.col("window").isNull() | same).select("row_id", "key", "n_words", span.alias("span"), "item_ids")
+
+
+def _hits_by_broadcast(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Per document row one marker row, and a row for each verified window occurrence."""
+    joined = _spread(docs, 1).join(F.broadcast(_marked(anchors, 1)), F.col("word") == F.col("anchor"))
+    return _found(joined.withColumn("n_words", F.size("w").cast("long")), F.lit(1), F.col("w"))
+
+
+def _hits_by_shuffle(docs: DataFrame, anchors: DataFrame, pairs: int) -> DataFrame:
+    """The same by a shuffle join; only words that the bitmap may hold leave the map stage."""
+    markers = 4 * shuffle_partitions(docs.sparkSession)
+    table = _marked(anchors, markers)
+    bits = min(MAX_BITMAP_BITS, max(12, int(16 * pairs).bit_length()))
+    place = lambda word: F.xxhash64(word).bitwiseAND(F.lit((1 << bits) - 1))
+    cell = lambda at: F.floor(at / 64).cast("int")
+    ones = table.select(place(F.col("anchor")).alias("at")).distinct().groupBy(cell(F.col("at")).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("ones"))
+    every = docs.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("cell")).join(ones, "cell", "left")
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("ones", F.lit(0)).alias("ones")))).alias("cells"))
+    bitmap = listed.select(F.col("cells.ones")).scalar()
+    at = place(F.col("word"))
+    maybe = F.call_function("shiftright", F.get(bitmap, cell(at)), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    near = F.greatest(F.col("at") - (WINDOW - 1), F.lit(1))
+    chosen = _spread(docs, markers).where(maybe).select("row_id", "key", F.size("w").cast("long").alias("n_words"), "at", "word", near.alias("near"), F.slice("w", near, 2 * WINDOW - 1).alias("held"))
+    return _found(chosen.join(table, F.col("word") == F.col("anchor")), F.col("near"), F.col("held"))
+
+
+def _measured(source: DataFrame, items: DataFrame) -> DataFrame:
+    """``(key, n_words, spans, item_ids)`` for every row of ``source(key, text)``; spans are sorted."""
+    anchors = cut(anchored_windows(source, item_windows(items)), "op1-anchors")
+    pairs = anchors.agg(F.sum(F.size("item_ids"))).first()[0] or 0
+    split = source.select(F.monotonically_increasing_id().alias("row_id"), "key", words(F.col("text")).alias("w"))
+    found = _hits_by_broadcast(split, anchors) if pairs <= MAX_BROADCAST_PAIRS else _hits_by_shuffle(split, anchors, pairs)
+    return found.groupBy("row_id", "key").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Words, hit words and contained items for every row of ``docs``."""
-    source = docs.select("doc_id", "text")
-    anchors = cut(anchored_windows(source, item_windows(items)), "op1-anchors")
-    pairs = anchors.agg(F.sum(F.size("item_ids"))).first()[0] or 0
-    blocks = max(1, -(-pairs // MAX_BROADCAST_PAIRS))
-    split = source.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words(F.col("text")).alias("w"))
-    parts = [_hits(split, anchors.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)) for b in range(blocks)]
-    grouped = reduce(DataFrame.unionByName, parts).groupBy("row_id", "doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
+    grouped = _measured(docs.select(F.col("doc_id").alias("key"), "text"), items)
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("total"))
     merged = F.aggregate("spans", zero, lambda acc, s: F.struct(F.greatest(acc["upto"], s["e"]).alias("upto"), (acc["total"] + F.greatest(s["e"] - F.greatest(s["s"], acc["upto"]), F.lit(0))).alias("total")))
     listed = F.sort_array(F.transform("item_ids", lambda x: x.cast("string")))
     return grouped.select(
-        "doc_id",
+        F.col("key").alias("doc_id"),
         "n_words",
         merged["total"].alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
@@ -100,9 +145,16 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id was not found contaminated."""
-    bad = contamination(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose text holds no window of the benchmark, however long the text.
+
+    Rows are told apart by their text alone (SHA-256), so a null or repeated doc_id neither keeps
+    a contaminated row nor drops a clean one. Null texts stay.
+    """
+    digest = F.unhex(F.sha2("text", 256))
+    hit = _measured(docs.select(digest.alias("key"), "text"), items).where("size(spans) > 0")
+    bad = cut(hit.select(F.col("key").alias("__digest")).distinct(), "op1-bad")
+    small = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_TEXTS else bad
+    return docs.join(small, digest == F.col("__digest"), "left_anti")
 
 
 ORACLE = r"""

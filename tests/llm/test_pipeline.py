@@ -1,11 +1,13 @@
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from alphaline.llm import quality
+from alphaline.llm import decontam, quality
 from tests.conftest import DATA
-from tests.llm.test_operators import LOWER, SPACED, WORDS, fingerprint
+from tests.llm.cases import words
+from tests.llm.test_nearcopies import firsts
+from tests.llm.test_operators import LOWER, SPACED, WORDS
 
 
 def good(text):
@@ -41,26 +43,6 @@ def without_repeated_lines(docs):
     return left
 
 
-def first_of_groups(docs):
-    prints = [fingerprint(t) for _, t in docs]
-    group = list(range(len(docs)))
-
-    def find(k):
-        while group[k] != k:
-            k = group[k]
-        return k
-
-    for a in range(len(docs)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                group[max(x, y)] = min(x, y)
-    lowest = defaultdict(lambda: (1 << 62, ""))
-    for k, doc in enumerate(docs):
-        lowest[find(k)] = min(lowest[find(k)], doc)
-    return sorted(lowest.values())
-
-
 def uncontaminated(docs, items):
     windows = set()
     for t in items:
@@ -73,7 +55,7 @@ def uncontaminated(docs, items):
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in windows:
                     hit |= set(range(k, k + n))
-        if not (hit and 20 * len(hit) >= len(w)):
+        if not hit:
             left.append((i, t))
     return left
 
@@ -84,7 +66,7 @@ def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns = docs.columns
     items = pq.read_table(f"{DATA}/benchmark.parquet").column("text").to_pylist()
-    steps = (lambda x: x, without_repeated_lines, first_of_groups, lambda x: uncontaminated(x, items))
+    steps = (lambda x: x, without_repeated_lines, firsts, lambda x: uncontaminated(x, items))
     for (name, stage), brute in zip(corpus_pipeline.STAGES, steps, strict=False):
         docs = stage(spark, docs, DATA)
         assert docs.columns == columns, name
@@ -93,5 +75,17 @@ def test_pipeline_equals_brute_force(spark):
         expected = brute(expected)
         assert sorted((r.doc_id, r.text) for r in rows) == sorted(expected), name
     final = corpus_pipeline.run(spark, DATA).collect()
-    assert sorted(r.doc_id for r in final) == sorted(i for i, _ in expected)
+    assert sorted((r.doc_id, r.text) for r in final) == sorted(expected)
+    assert set(columns) < set(final[0].asDict())
     assert all(r.rate >= 0 for r in final)
+
+
+def test_decontamination_judges_rows_and_any_share(spark):
+    passage, long, clean = words(50, 14), words(51, 386), " ".join(words(52, 60))
+    dirty = " ".join(long[:200] + passage + long[200:])
+    rows = [(1, dirty), (1, clean), (None, dirty), (None, clean), (2, None), (3, ""), (3, clean), (4, " ".join(passage[:12])), (5, " ".join(passage))]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, key int").repartition(3)
+    items = spark.createDataFrame([(9, " ".join(passage)), (None, clean)], "item_id long, text string")
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, clean), (None, clean), (2, None), (3, ""), (3, clean), (4, " ".join(passage[:12]))], key=str)

@@ -1,5 +1,3 @@
-import math
-
 from pyspark.sql import functions as F
 
 from alphaline.llm import mixing
@@ -13,7 +11,8 @@ def test_unrelated_texts_with_equal_least_hashes_all_count(spark):
     rows = [*enumerate(texts), (60, texts[59])]  # a true copy
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(i < 25)) for i, _ in rows], "doc_id long, quality int, toxic int")
-    table, priors = mixing.fit(docs, labels)
-    assert [round(math.exp(p) * 65) for p in priors] == [1, 1, 37, 26]  # 36 clean labels, 25 toxic ones
-    evil = docs.limit(1).select(mixing._feature(F.lit("evil")).alias("feature"))
-    assert table.join(evil, "feature").count() == 1
+    found = mixing.labelled_texts(docs, labels)
+    assert found.count() == 60
+    assert {r.domain: r.weight for r in found.groupBy("domain").agg(F.sum("weight").alias("weight")).collect()} == {2: 36, 3: 25}
+    words = {word: (h, w) for word, h, w in mixing.evidence_words(found)}
+    assert "evil" in words and words["evil"][1][3] > 0 > words["evil"][1][2]

@@ -333,18 +333,69 @@ def test_language_edges(spark):
     assert {r.lang for r in none} == {"und"} and len(none) == 3
 
 
+def shares(found):
+    total = found.n_tokens.sum()
+    return {d: (found.rate * found.n_tokens * found[f"p_{d}"]).sum() / total for d in mixing.DOMAINS}
+
+
 def test_mixing_reaches_its_targets(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    found = mixing.mix(docs, labels, {"low_clean": 0.15, "low_toxic": 0.02, "high_clean": 0.8, "high_toxic": 0.03}).toPandas()
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = mixing.mix(docs, labels, keep=["doc_id"]).toPandas()
     assert len(found) == docs.count() and (found.rate >= 0).all()
-    share = (found.rate * found.n_tokens * found.p_high_clean).sum() / found.n_tokens.sum()
-    assert abs(share - 0.8) < 0.02
+    assert all(abs(x - mixing.TARGETS[d]) < 1e-4 for d, x in shares(found).items())
+    # expected shares of the labelled documents against their labels
+    both = found.merge(labels.toPandas(), on="doc_id")
+    domain = 2 * both.quality + both.toxic
+    for k, d in enumerate(mixing.DOMAINS):
+        assert abs(both.n_tokens[domain == k].sum() - (both.n_tokens * both[f"p_{d}"]).sum()) < 0.02 * both.n_tokens.sum(), d
+
+
+def test_mixing_posteriors_hold_on_unseen_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = mixing.mix(docs, labels.where("pmod(xxhash64(doc_id, 5), 2) = 0"), keep=["doc_id"]).toPandas()
+    both = found.merge(labels.where("pmod(xxhash64(doc_id, 5), 2) = 1").toPandas(), on="doc_id")
+    domain = 2 * both.quality + both.toxic
+    for k, d in enumerate(mixing.DOMAINS):
+        assert abs(both.n_tokens[domain == k].sum() - (both.n_tokens * both[f"p_{d}"]).sum()) < 0.04 * both.n_tokens.sum(), d
+
+
+def test_rates_equal_brute_force_least_squares(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.6, 0.1, 2.0, 0.5], 300)
+    n = rng.integers(1, 2000, 300)
+    table = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(n, p, strict=True)], "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    rate, gap = mixing.fit_rates(table)
+    fitted = np.array([r.rate for r in table.select(rate.alias("rate")).collect()])
+    # plain projected gradient on the penalised problem: closest rates to 1, in tokens, that meet the targets
+    goal, weight = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]), n / n.sum()
+    multipliers = np.zeros(4)
+    for _ in range(200_000):
+        brute = np.maximum(0, 1 - p @ multipliers)
+        multipliers += 0.5 * (weight * brute @ p - goal)
+    assert gap < mixing.TOLERANCE and np.abs(weight * fitted @ p - goal).max() < 1e-4
+    assert np.abs(fitted - brute).max() < 0.01
+
+
+def test_unreachable_targets_are_told(spark):
+    table = spark.createDataFrame([(100, 0.25, 0.25, 0.25, 0.25)] * 5, "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    rate, gap = mixing.fit_rates(table)
+    assert gap > 0.1 and table.select(rate.alias("r")).where("r >= 0").count() == 5
+
+
+def test_cuckoo_slots():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 3, 700):
+        hashes = [int(h) for h in rng.integers(-(1 << 63), 1 << 63, n)]
+        count, slots = mixing.cuckoo(hashes)
+        assert sorted(k for k in slots if k >= 0) == list(range(n))
+        assert all(slots[h & (count - 1)] == k or slots[h >> 32 & (count - 1)] == k for k, h in enumerate(hashes))
 
 
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (4, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     found = mixing.mix(documents(spark), labels)
     assert found.count() == len(texts()) and found.where("rate IS NULL OR rate < 0").count() == 0
+    assert set(documents(spark).columns) <= set(found.columns) and found.where("text IS NOT NULL").count() == len(texts()) - 1
     assert mixing.mix(documents(spark), labels.where("doc_id > 99")).count() == len(texts())
 
 

@@ -9,15 +9,23 @@ Order within a conversation: ``anchor`` (the turn, moved back until no dependenc
 ``level`` (depth in the dependency graph), ``turn``, ``part``. No conversation is collected
 anywhere, so one of any length is linked by the same joins.
 
-Defined results: a null conversation links nothing; of several calls with one identifier the
-first counts and later ones are ``duplicate``; further results are ``extra``; results without
-a call are ``orphan``; calls in a dependency cycle keep level null and status ``cycle``;
-broken JSON is a plain message; identical rows are treated alike; an empty table gives none.
+Defined results: a null conversation links nothing, a null turn sorts first; null and empty
+texts are messages with that content; texts of any length are read whole; of several calls
+with one identifier the first by turn, part and hash of its line counts and later ones are
+``duplicate``; further results are ``extra``; rows that are equal throughout tie in that order
+and share one status; results without a call are ``orphan``; calls in a dependency cycle keep
+level null and status ``cycle``; an empty table gives none; other columns of the table are not
+read, so they may have any name. JSON that is broken, nested too deeply to be read, or holds a
+number that is not finite (NaN, 1e999) makes a plain message (a call's argument text: a string);
+half of a surrogate pair is written as U+FFFD.
+
+Dependencies are levelled one level a round, so a run takes as many rounds as the longest chain.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -49,8 +57,30 @@ _TYPES = {
 
 
 def canonical(value: Any) -> str:
-    """Canonical JSON: sorted keys, no spaces, text unescaped."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Canonical JSON: sorted keys, no spaces, text unescaped, finite numbers only."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _finite(literal: str) -> float:
+    value = float(literal)
+    if not math.isfinite(value):
+        raise ValueError(f"not a finite number: {literal}")
+    return value
+
+
+def parsed(text: str) -> Any:
+    """JSON text as Python values; ``ValueError`` for whatever canonical JSON can't hold."""
+    try:
+        return json.loads(text, parse_float=_finite, parse_constant=_finite)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+
+
+def _sound(value: Any) -> Any:
+    """Strings (and lists of them) without halves of surrogate pairs."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return [_sound(x) for x in value] if isinstance(value, list) else value
 
 
 def problems(value: Any, schema: dict, path: str = "$") -> list[str]:
@@ -89,7 +119,7 @@ def _explicit(text: str | None) -> dict | None:
     if not text or not text.lstrip().startswith("{"):
         return None
     try:
-        found = json.loads(text)
+        found = parsed(text)
     except ValueError:
         return None
     return found if isinstance(found, dict) and ("tool_calls" in found or "tool_call_id" in found) else None
@@ -99,7 +129,7 @@ def _call(ids: tuple, part: int, call: dict, schemas: dict[str, dict]) -> tuple:
     arguments = call.get("arguments", {})
     if isinstance(arguments, str):
         try:
-            arguments = json.loads(arguments)
+            arguments = parsed(arguments)
         except ValueError:
             pass
     name, call_id = str(call.get("name")), str(call.get("id"))
@@ -110,7 +140,15 @@ def _call(ids: tuple, part: int, call: dict, schemas: dict[str, dict]) -> tuple:
 
 
 def message_events(conv: int | None, turn: int | None, role: str | None, text: str | None, schemas: dict[str, dict], exchanges: bool) -> list[tuple]:
-    """The events of one message."""
+    """The events of one message; a value that can be read but is too deep to be checked or written makes it plain."""
+    try:
+        found = _events(conv, turn, role, text, schemas, exchanges)
+    except RecursionError:
+        found = [(conv, turn, 0, "message", None, True, None, canonical({"type": "message", "role": role, "content": text}), [])]
+    return [tuple(map(_sound, event)) for event in found]
+
+
+def _events(conv: int | None, turn: int | None, role: str | None, text: str | None, schemas: dict[str, dict], exchanges: bool) -> list[tuple]:
     ids, found = (conv, turn), _explicit(text)
     if found is not None and isinstance(found.get("tool_calls"), list):
         return [_call(ids, i, c if isinstance(c, dict) else {}, schemas) for i, c in enumerate(found["tool_calls"])]

@@ -1,14 +1,17 @@
 """URL filters with redirect equivalence, in DataFrame operations only.
 
 Rules name a host and a path prefix; the longest rule that fits a url decides it. Urls that
-no rule fits take the decision of their aliases: urls, their normal forms, and the targets of
-declared canonical links and refresh redirects are the nodes of a graph whose connected
-components are equivalent; a component with an allowed url is allowed, else one with a blocked
-url is blocked, else the default holds.
+no rule fits take the decision of their aliases: urls and the targets of declared canonical
+links and refresh redirects are the nodes of a graph whose connected components are
+equivalent; a component with an allowed url is allowed, else one with a blocked url is blocked,
+else the default holds. On request urls are also tied to their normal forms, which no page
+declares; that is a guess, and off.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, no alias and
-the default verdict; repeated urls share one decision; null or broken html declares nothing;
-an empty table gives an empty result.
+the default verdict; of equally long rules that fit one that allows wins, then the last by
+name; repeated urls and rows share one decision; null or broken html declares nothing; html of
+any length is searched whole; an empty table gives an empty result; other columns of the table
+are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -76,18 +79,20 @@ def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spread = parsed.select("url", "path", F.explode(suffixes).alias("rule_host"))
     small = F.broadcast(rules) if rules.count() <= MAX_BROADCAST_RULES else rules
     fitting = spread.join(small, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    best = F.max(F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict"))).alias("best")
+    named = F.concat("rule_host", "rule_path")
+    best = F.max(F.struct(F.length(named).alias("n"), (F.col("verdict") == "allow").alias("allows"), named.alias("rule"), F.col("verdict"))).alias("best")
     return fitting.groupBy("url").agg(best).select("url", "best.rule", "best.verdict")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, *, normal_forms: bool = False) -> DataFrame:
     """``(page_id, host, path, rule, verdict, inherited)`` for every row of ``pages``."""
     known = pages.where("url IS NOT NULL").select("url", declared_targets(F.coalesce("html", F.lit("")), F.col("url")).alias("targets"))
     links = known.where("size(targets) > 0").select(F.col("url").alias("a"), F.explode("targets").alias("b")).distinct()
     urls = known.select("url").distinct()
     every = urls.union(links.select(F.col("b").alias("url"))).distinct()
-    forms = every.select(F.col("url").alias("a"), normal_form(F.col("url")).alias("b")).where("b IS NOT NULL")
-    components = connected_components(links.unionByName(forms)).withColumnRenamed("node", "url")
+    if normal_forms:
+        links = links.unionByName(every.select(F.col("url").alias("a"), normal_form(F.col("url")).alias("b")).where("b IS NOT NULL"))
+    components = connected_components(links).withColumnRenamed("node", "url")
     decided = decide(every, rules)
     votes = decided.join(components, "url").groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
     shared = components.join(votes, "component").select("url", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict"))
@@ -116,19 +121,15 @@ link AS (
 url AS (SELECT DISTINCT url FROM page WHERE url IS NOT NULL UNION SELECT b FROM link),
 part AS (
   SELECT url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM url)),
-form AS (
-  SELECT url AS a, '//' || regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') || '?' ||
-    array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)='))), '&') AS b
-  FROM part WHERE host <> ''),
-edge AS (SELECT a, b FROM link UNION SELECT a, b FROM form),
-both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 rule(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 best AS (
-  SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
-  FROM part JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
+  SELECT url, h || p AS rule, verdict
+  FROM part JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(h || p) DESC, verdict, h || p DESC) = 1),
 vote AS (SELECT r.node AS url, bool_or(verdict = 'allow') AS allowed FROM reach r JOIN best b ON b.url = r.other GROUP BY r.node)
 SELECT g.page_id, coalesce(part.host, '') AS host, coalesce(part.path, '') AS path, b.rule,
   coalesce(b.verdict, CASE WHEN v.allowed THEN 'allow' WHEN NOT v.allowed THEN 'block' END, 'allow') AS verdict,

@@ -17,15 +17,17 @@ segment: the bytes left and right of the anchor.
 4. Suffixes whose common prefix with a neighbour reaches 400 bytes mark their windows; the
    marked spans go back to their texts and are cut out.
 
-Defined results: null texts are empty; matches never cross texts; rows that repeat a doc_id
-are texts of their own, told apart by a checksum; a null doc_id counts as a text like any
-other; texts under 400 bytes lose nothing; an empty table gives an empty result.
+Defined results: null texts are empty; matches never cross texts; rows that repeat a doc_id, or
+have none, are texts of their own, told apart by 128 bits of a hash of the text (equal rows have
+equal results); texts under 400 bytes lose nothing, longer ones of any length are searched
+whole; of equal hashes in a window the first is the anchor, which changes no result; an empty
+table gives an empty result; other columns of the table are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +46,13 @@ MEMORY_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 SEND_BYTES = 8 << 20
 
-NO_ID = -(1 << 63)
-OWNER = np.dtype([("id", "<i8"), ("tie", "<u4"), ("start", "<i4")])
-SPAN = np.dtype([("tie", "<u4"), ("begin", "<i4"), ("end", "<i4")])
+OWNER = np.dtype([("id", "<i8"), ("tie", "V16"), ("start", "<i4")])
+SPAN = np.dtype([("tie", "V16"), ("begin", "<i4"), ("end", "<i4")])
+
+
+def _tie(text: bytes) -> bytes:
+    """128 bits that tell texts of one key apart."""
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def anchored_segments(data: np.ndarray, offsets: np.ndarray):
@@ -129,10 +135,10 @@ def _send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             names, at, first, last, rows = (x[chosen] for x in (names, at, first, last, rows))
             raw = part.tobytes()
-            ties = {int(r): zlib.crc32(raw[local[r] : local[r + 1]]) for r in np.unique(rows)}
+            ties = {int(r): _tie(raw[local[r] : local[r + 1]]) for r in np.unique(rows)}
             owners = np.zeros(len(rows), OWNER)
             owners["id"], owners["start"] = ids[row:stop][rows], first - local[rows]
-            owners["tie"] = [ties[r] for r in rows.tolist()]
+            owners["tie"] = np.array([ties[r] for r in rows.tolist()], "V16")
             for k, name, a, s, e in zip(range(len(at)), names.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
                 key = (name, raw[a : e + WIDTH], raw[s:a])
                 if key not in held:
@@ -230,6 +236,7 @@ def _queue_spans(queue: SuffixQueue) -> tuple[np.ndarray, np.ndarray]:
     o_max, o_min = np.array(queue.o_max, np.int64), np.array(queue.o_min, np.int64)
     owners = [np.frombuffer(b"".join(x), OWNER) for x in queue.owners]
     several = np.array([len(x) > 1 for x in owners])
+    owners = [np.unique(x) if len(x) > 1 else x for x in owners]  # equal rows need one answer
     elements, distances = [], []
     for distance, order, lcp in induce(queue.left_bytes(), o_max, np.array(queue.lcp, np.int32)):
         equal = np.flatnonzero(lcp >= WIDTH)
@@ -284,7 +291,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, removed, runs = raw, 0, 0
             if found:
                 spans = np.frombuffer(b"".join(found), SPAN)
-                spans = spans[spans["tie"] == zlib.crc32(raw.tobytes())]
+                spans = spans[spans["tie"] == np.void(_tie(raw.tobytes()))]
                 steps = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(steps, spans["begin"], 1)
                 np.add.at(steps, spans["end"], -1)
@@ -306,7 +313,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)`` for every row of ``docs``; kept is binary."""
     width = shuffle_partitions(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
-    source = docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("key"), doc_id.alias("doc_id"), "text")
+    source = docs.select(F.coalesce(doc_id, F.xxhash64("text")).alias("key"), doc_id.alias("doc_id"), "text")
     anchors = source.select("key", "text").mapInArrow(_send_anchors(width), packed.schema("ids"))
     repeated = packed.repeated_names(anchors)
     texts = source.repartition(width, "key")

@@ -75,12 +75,17 @@ def unpack(table: pa.Table, **kinds: type) -> list[np.ndarray]:
     return [names, *(np.concatenate([_from_planes(raw, kind) for raw in table.column(c).to_pylist()]) for c, kind in kinds.items())]
 
 
-def by_id(ids: np.ndarray, names: np.ndarray) -> pa.Table:
-    """Rows ``(id, payload)``: each id's names, packed."""
-    order = np.argsort(ids, kind="stable")
-    ids, names = ids[order], names[order]
-    firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    return pa.table({"id": pa.array(ids[firsts], pa.int64()), "payload": tc.binary_rows(names, np.append(firsts, len(ids)))})
+def by_id(ids: np.ndarray, found: np.ndarray, ties: np.ndarray | None = None) -> pa.Table:
+    """Rows ``(id, payload)``, or ``(id, tie, payload)``: what was found for each text, packed."""
+    order = np.argsort(ids, kind="stable") if ties is None else np.lexsort((ties, ids))
+    ids, found = ids[order], found[order]
+    new = ids[1:] != ids[:-1]
+    if ties is not None:
+        ties = ties[order]
+        new |= ties[1:] != ties[:-1]
+    firsts = np.flatnonzero(np.concatenate([[True], new])) if len(ids) else np.zeros(0, np.int64)
+    tie = {} if ties is None else {"tie": pa.array(ties[firsts], pa.int64())}
+    return pa.table({"id": pa.array(ids[firsts], pa.int64()), **tie, "payload": tc.binary_rows(found, np.append(firsts, len(ids)))})
 
 
 def short(names: np.ndarray) -> np.ndarray:
@@ -88,17 +93,17 @@ def short(names: np.ndarray) -> np.ndarray:
     return (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _in_several_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    names, ids = unpack(table, ids=np.int64)
+def _in_several_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names, ids, ties = unpack(table, ids=np.int64, ties=np.int64)
     order = np.argsort(names, kind="stable")
-    names, ids = names[order], ids[order]
+    names, ids, ties = names[order], ids[order], ties[order]
     firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     several = np.minimum.reduceat(ids, firsts) < np.maximum.reduceat(ids, firsts)
     shared = np.repeat(several, np.diff(np.append(firsts, len(names))))
-    return ids[shared], short(names[shared])
+    return ids[shared], ties[shared], short(names[shared])
 
 
-def _occurring_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _occurring_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names, ids = unpack(table, ids=np.int64)
     order = np.argsort(names, kind="stable")
     names, ids = names[order], ids[order]
@@ -107,36 +112,35 @@ def _occurring_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     twice = np.repeat(counts > 1, counts)
     names, ids = names[twice], ids[twice]
     keep = np.concatenate([[True], (names[1:] != names[:-1]) | (ids[1:] != ids[:-1])]) if len(names) else np.zeros(0, bool)
-    return ids[keep], names[keep]
+    return ids[keep], np.zeros(int(keep.sum()), np.int64), names[keep]
 
 
-def later_places(packed: DataFrame, shift: int = 0) -> DataFrame:
-    """``(id, payload)``: the places (int32) of names that a text with a smaller id also has.
+def _in_a_smaller_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names, more, ids, ties, places = unpack(table, more=np.uint32, ids=np.int64, ties=np.int64, places=np.int32)
+    order = np.lexsort((more, names))
+    names, more, ids, ties, places = names[order], more[order], ids[order], ties[order], places[order]
+    new = np.concatenate([[True], (names[1:] != names[:-1]) | (more[1:] != more[:-1])])
+    lowest = np.minimum.reduceat(ids, np.flatnonzero(new))
+    later = ids > lowest[np.cumsum(new) - 1]
+    return ids[later], ties[later], places[later]
 
-    The rows also carry 16 further bits of each name (``more``), the ``ids`` and ``places``.
-    Ids are compared without their lowest ``shift`` bits.
-    """
 
-    def judge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        names, more, ids, places = unpack(table, more=np.uint16, ids=np.int64, places=np.int32)
-        order = np.lexsort((more, names))
-        names, more, ids, places = names[order], more[order], ids[order], places[order]
-        new = np.concatenate([[True], (names[1:] != names[:-1]) | (more[1:] != more[:-1])])
-        lowest = np.minimum.reduceat(ids >> shift, np.flatnonzero(new))
-        later = (ids >> shift) > lowest[np.cumsum(new) - 1]
-        return ids[later], places[later]
+def later_places(packed: DataFrame) -> DataFrame:
+    """``(id, tie, payload)``: the places (int32) of names that a text with a smaller id also has.
 
-    return _answers(packed, judge, np.int32)
+    The rows also carry 32 further bits of each name (``more``), ``ids``, ``ties`` and ``places``.
+    """
+    return _answers(packed, _in_a_smaller_id, np.int32)
 
 
 def shared_names(packed: DataFrame) -> DataFrame:
-    """``(id, payload)``: the short names of each text that a text with another id also has."""
+    """``(id, tie, payload)``: the short names of each text that a text with another id also has."""
     return _answers(packed, _in_several_texts, np.uint32)
 
 
 def repeated_names(packed: DataFrame) -> DataFrame:
     """``(id, payload)``: the names of each text that occur twice or more anywhere."""
-    return _answers(packed, _occurring_twice, np.uint64)
+    return _answers(packed, _occurring_twice, np.uint64).drop("tie")
 
 
 def _answers(packed: DataFrame, judge, kind: type) -> DataFrame:
@@ -145,26 +149,28 @@ def _answers(packed: DataFrame, judge, kind: type) -> DataFrame:
     homes = shuffle_partitions(packed.sparkSession)
 
     def tell(table: pa.Table) -> pa.Table:
-        ids, found = judge(table)
+        ids, ties, found = judge(table)
         home = tc.mix(ids.view(np.uint64)) % np.uint64(homes)
         order = np.lexsort((ids, home))
-        ids, found, home = ids[order], found[order], home[order]
+        ids, ties, found, home = ids[order], ties[order], found[order], home[order]
         firsts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
         cuts = np.append(firsts, len(home))
+        pieces = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         return pa.table(
             {
                 "home": pa.array(home[firsts].astype(np.int32)),
-                "ids": pa.array([_planes(ids[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
+                "ids": pa.array([_planes(ids[a:b]) for a, b in pieces], pa.binary()),
+                "ties": pa.array([_planes(ties[a:b]) for a, b in pieces], pa.binary()),
                 "found": tc.binary_rows(found, cuts),
             }
         )
 
     def gather(table: pa.Table) -> pa.Table:
-        ids = np.concatenate([_from_planes(raw, np.int64) for raw in table.column("ids").to_pylist()])
-        return by_id(ids, np.frombuffer(tc.utf8(table.column("found"))[0].tobytes(), kind))
+        ids, ties = (np.concatenate([_from_planes(raw, np.int64) for raw in table.column(c).to_pylist()]) for c in ("ids", "ties"))
+        return by_id(ids, np.frombuffer(tc.utf8(table.column("found"))[0].tobytes(), kind), ties)
 
-    told = packed.groupBy("bucket").applyInArrow(tell, "home int, ids binary, found binary")
-    return told.groupBy("home").applyInArrow(gather, "id bigint, payload binary")
+    told = packed.groupBy("bucket").applyInArrow(tell, "home int, ids binary, ties binary, found binary")
+    return told.groupBy("home").applyInArrow(gather, "id bigint, tie bigint, payload binary")
 
 
 def answer(column: pa.Array, row: int, kind: type = np.uint64) -> np.ndarray:

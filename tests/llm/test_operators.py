@@ -200,7 +200,10 @@ def test_urls_with_redirects(spark):
         (11, "http://alone.org/", None),
     ]
     frame = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, host int")
-    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(frame, urls.rule_table(spark)).collect()}
+    declared = {r.page_id: r.verdict for r in urls.judge_urls(frame, urls.rule_table(spark)).collect()}
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(frame, urls.rule_table(spark), normal_forms=True).collect()}
+    # without normal forms page 2 has no alias, and 5 has its own blocked target only
+    assert declared == {k: v[3] for k, v in found.items()} | {2: "allow", 5: "block"}
     assert found == {
         0: ("a.example.net", "/es/1", "net/es/", "block"),
         1: ("x.example.org", "/p", None, "block"),
@@ -248,7 +251,7 @@ def test_suffix_queue_beyond_memory(spark, monkeypatch):
         body = bytes(rng.integers(97, 99, 900).astype(np.uint8))
         sent = sorted((7, body[k : k + 400] + bytes([k]), body[max(k - 90, 0) : k][::-1]) for k in range(0, 60, 3))
         for k, (name, right, left) in enumerate(sent + sent[:1]):
-            queue.push(name, right, left, np.array([(k, 0, 0)], suffixes.OWNER).tobytes())
+            queue.push(name, right, left, np.array([(k, b"", 0)], suffixes.OWNER).tobytes())
         queue_all.append([x.tolist() for x in suffixes._queue_spans(queue)])
         queue.close()
     assert queue_all[0] == queue_all[1]
@@ -420,3 +423,73 @@ def test_nulls_in_every_column(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     for found in (decontam.contamination(docs, items), recompress.substring_report(docs), simhash.simhash_report(docs), quality.quality_report(docs), suffixes.repeat_report(docs), lines.line_report(docs), mixing.mix(docs, labels)):
         assert found.count() == 3
+
+
+def test_substrings_with_large_and_repeated_ids(spark):
+    body = " ".join(f"w{k}" for k in range(20))
+    low, high, twice = 2**60 + 5, 2**62 + 2**61 + 7, 2**62 + 9
+    rows = [(low, body), (high, "x " + body), (twice, "some other words"), (twice, body + " y"), (-(2**63), "alone"), (2**63 - 1, body), (None, body)]
+    found = recompress.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = sorted((r.doc_id is None, r.doc_id, r.kept_text) for r in found if r.doc_id is not None)
+    assert left == sorted([(False, low, body), (False, high, "x"), (False, twice, "some other words"), (False, twice, "y"), (False, -(2**63), "alone"), (False, 2**63 - 1, "")])
+    assert [r.kept_text for r in found if r.doc_id is None] == [body]
+
+
+def test_suffixes_with_equal_checksums_and_no_ids(spark):
+    import zlib
+
+    # four bytes put before a suffix can give any text any CRC-32: search for two that agree
+    rng, seen = np.random.default_rng(8), {}
+    body = bytes(rng.integers(97, 123, 500).astype(np.uint8)).decode()
+    while True:
+        text = "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 8))
+        if (crc := zlib.crc32(text.encode())) in seen and seen[crc] != text:
+            break
+        seen[crc] = text
+    some = [(7, text + body), (7, seen[crc] + body), (7, "short"), (None, body), (None, body), (None, body + "z"), (None, None), (None, "y" * 300)]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    assert got(suffixes.repeat_report(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(some)
+
+
+def test_suffixes_remove_planted_passages_and_leave_clean_texts(spark):
+    from tests.llm.cases import words
+
+    passages = [" ".join(words(900 + k, 110)) for k in range(3)]
+    rows = [(k, " ".join(words(1000 + k, 120)) + (" " + passages[k % 3] + " " + " ".join(words(2000 + k, 50)) if k % 2 else "")) for k in range(40)]
+    found = {r.doc_id: r.n_removed for r in suffixes.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(len(p.encode()) >= 400 for p in passages)
+    assert {k for k, n in found.items() if n > 0} == {k for k in range(40) if k % 2}
+    assert all(found[k] >= len(passages[k % 3].encode()) for k in range(1, 40, 2))
+
+
+def test_tool_calls_with_hostile_json(spark):
+    deep = '{"tool_call_id": "c", "content": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    middle = '{"tool_calls": [{"id": "m", "name": "add", "arguments": ' + '{"a":' * 900 + "1" + "}" * 900 + "}]}"
+    turns = [
+        (1, 0, "assistant", '{"tool_calls": [{"id": "c\\ud800", "name": "add", "arguments": {"a": "\\udfff x \\ud83d\\ude00"}}]}'),
+        (1, 1, "tool", '{"tool_call_id": "c\\ud800", "content": "\\ud800"}'),
+        (1, 2, "tool", deep),
+        (1, 3, "assistant", middle),
+        (1, 4, "tool", '{"tool_call_id": "c", "content": 1e999}'),
+        (1, 5, "tool", '{"tool_call_id": "c", "content": NaN}'),
+        (1, 6, "assistant", '{"tool_calls": [{"id": "d", "name": "add", "arguments": "{\\"a\\": -Infinity}"}]}'),
+        (1, 7, "tool", '{"tool_call_id": "c", "content": ' + "9" * 5000 + "}"),
+        (1, 7, "tool", '{"tool_call_id": "c", "content": ' + "9" * 5000 + "}"),
+        (1, None, "user", "x" * 3_000_000),
+    ]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"kind": F.lit(1), "line": F.lit(2), "level": F.lit(3)})
+    found = toolcalls.format_chats(frame, {"add": {"type": "object"}}, exchanges=False).collect()
+    by = {r.turn: r for r in found}
+    assert len(found) == 10
+    assert by[0].line == '{"arguments":{"a":"� x \U0001f600"},"id":"c�","name":"add","type":"call"}'
+    assert (by[0].status, by[1].status, by[1].line) == ("linked", "linked", '{"content":"�","id":"c�","type":"result"}')
+    assert {by[k].kind for k in (2, 4, 5, 7, None)} == {"message"}
+    assert by[6].kind == "call" and '"arguments":"{\\"a\\": -Infinity}"' in by[6].line
+    for r in found:
+        json.loads(r.line)
+
+
+def test_urls_tie_and_switch(spark):
+    rules = spark.createDataFrame([("block", "a.b.com", "/"), ("allow", "b.com", "/xx"), ("block", "c.org", "/p")], "verdict string, rule_host string, rule_path string")
+    pages = spark.createDataFrame([(1, "http://a.b.com/xx1", None), (2, "http://c.org/p", None), (3, "http://www.c.org/q", "")], "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()} == {1: ("b.com/xx", "allow"), 2: ("c.org/p", "block"), 3: (None, "allow")}

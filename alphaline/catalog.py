@@ -97,19 +97,14 @@ def mixed_opacity_ids(spark, sf_dir):
     return counted.where("solid * 100 >= 8 * n AND soft * 100 >= 8 * n").select("vec_id", "solid", "soft")
 
 
-def _scored_pixels(spark, sf_dir):
-    zipped = scored_models(spark, sf_dir).select(F.concat_ws(":", "model", "vec_id").alias("k"), "model", "label", F.posexplode(F.arrays_zip("pred", "gt")).alias("pos", "z"))
-    dark = (F.col("z.gt") < 100).cast("int")
-    return zipped.select("k", "model", "label", F.floor(F.col("pos") / SIDE).cast("int").alias("y"), (F.col("pos") % SIDE).alias("x"), F.col("z.pred").alias("p"), (1 - dark).alias("g"))
-
-
 @query(f"""WITH {SCORED}, q AS (SELECT model || ':' || vec_id AS k, model, label, pos // 8 AS y, pos % 8 AS x, pred[pos + 1] AS p, CAST(gt[pos + 1] < 100 AS INT) AS b FROM p, (SELECT unnest(range(64)) AS pos)),
 h AS (SELECT *, CAST(sum(b) OVER (PARTITION BY k, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 AS INT) AS hh FROM q),
 e AS (SELECT *, sum(hh) OVER (PARTITION BY k, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 AS e FROM h),
 i AS (SELECT k, model, label, count(*) FILTER (e) AS n, coalesce(sum(p) FILTER (e), 0) AS s, count(*) FILTER (e AND p * 100 > 1275) AS m FROM e GROUP BY ALL)
 SELECT model, label, round(avg(CASE WHEN n >= 2 THEN s / (n * 255) END), 6) AS bg_mae, round(avg(CASE WHEN n >= 2 THEN m / n END), 6) AS bg_smear, count(*) FILTER (n < 2) AS n_null FROM i GROUP BY model, label""")
 def bg_residue(spark, sf_dir):
-    each = metrics.background_residue(_scored_pixels(spark, sf_dir), "k", 1, 2, "model", "label")
+    flagged = scored_models(spark, sf_dir).withColumn("dark", F.transform("gt", lambda g: g < 100))
+    each = kernels.background_residue(flagged, ["model", "label"], "pred", "dark", SIDE, 1, 2)
     return each.groupBy("model", "label").agg(F.round(F.avg("bg_mae"), 6).alias("bg_mae"), F.round(F.avg("bg_smear"), 6).alias("bg_smear"), F.count_if(F.col("bg_mae").isNull()).alias("n_null"))
 
 
@@ -118,40 +113,27 @@ h AS (SELECT *, sum(b) OVER w = 3 AS h0, sum(b) OVER w = count(*) OVER w AS h1 F
 e AS (SELECT vec_id, sum(CAST(h0 AS INT)) OVER w = 3 AS e0, sum(CAST(h1 AS INT)) OVER w = count(*) OVER w AS e1 FROM h WINDOW w AS (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
 SELECT vec_id, count(*) FILTER (e0) AS n_erode, count(*) FILTER (e1) AS n_keep FROM e GROUP BY vec_id""")
 def erosion_border_modes(spark, sf_dir):
-    marked = pixels(spark, sf_dir).withColumn("b", (F.col("a") < 140).cast("int"))
-    shut = metrics.erode(marked, "vec_id", 1, False).groupBy("vec_id").agg(F.count_if("e").alias("n_erode"))
-    kept = metrics.erode(marked, "vec_id", 1, True).groupBy("vec_id").agg(F.count_if("e").alias("n_keep"))
-    return shut.join(kept, "vec_id")
-
-
-@query(f"WITH {PIXELS} SELECT label, round(avg(greatest((a / 255.0 - 0.5) * 8 - ln(0.05 / 0.95), 0)), 6) AS loss FROM px GROUP BY label")
-def bg_hinge_value(spark, sf_dir):
-    logit = (F.col("a") / 255.0 - 0.5) * 8
-    return pixels(spark, sf_dir).groupBy("label").agg(F.round(F.avg(metrics.background_hinge(logit, 0.05)), 6).alias("loss"))
+    marked = alphas(spark, sf_dir).withColumn("dark", F.transform("a8", lambda a: a < 140))
+    return kernels.eroded_sizes(marked, ["vec_id"], "dark", SIDE, 1)
 
 
 @query(f"""WITH {SCORED}, q AS (SELECT model || ':' || vec_id AS k, model, label, pos // 8 AS y, pos % 8 AS x, pred[pos + 1] AS p, CASE WHEN gt[pos + 1] < 100 THEN 0 ELSE gt[pos + 1] END AS g FROM p, (SELECT unnest(range(64)) AS pos)),
 h AS (SELECT *, sum(CAST(g = 0 AS INT)) OVER w = count(*) OVER w AS hh FROM q WINDOW w AS (PARTITION BY k, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 e AS (SELECT *, sum(CAST(hh AS INT)) OVER w = count(*) OVER w AS e FROM h WINDOW w AS (PARTITION BY k, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 o AS (SELECT k AS ok FROM q GROUP BY k HAVING count(*) FILTER (g * 100 > 1275 AND g * 100 < 24225) / count(*) <= 0.8)
-SELECT model, label, count(ok) FILTER (e) AS n_bg, round(coalesce(avg(greatest((p / 255.0 - 0.5) * 8 - ln(0.05 / 0.95), 0)) FILTER (e AND ok IS NOT NULL), 0), 6) AS loss FROM e LEFT JOIN o ON k = ok GROUP BY model, label""")
-def bg_hinge_masked(spark, sf_dir):
-    """The hinge over eroded true background of the samples that pass the soft-ratio gate."""
-    zipped = scored_models(spark, sf_dir).select(F.concat_ws(":", "model", "vec_id").alias("k"), "model", "label", F.posexplode(F.arrays_zip("pred", "gt")).alias("pos", "z"))
-    truth = F.when(F.col("z.gt") < 100, 0).otherwise(F.col("z.gt"))
-    placed = zipped.select("k", "model", "label", F.floor(F.col("pos") / SIDE).cast("int").alias("y"), (F.col("pos") % SIDE).alias("x"), ((F.col("z.pred") / 255.0 - 0.5) * 8).alias("logit"), truth.alias("g"))
-    return metrics.hinge_loss(placed, "k", 1, 0.05, 0.8, "model", "label").select("model", "label", "n_bg", F.round("loss", 6).alias("loss"))
-
-
-@query(f"WITH {PIXELS} SELECT label, pos, round(1 - product(1 - a / 2550.0), 6) AS union_a FROM px WHERE vec_id % 25 = 0 GROUP BY label, pos")
-def alpha_union(spark, sf_dir):
-    layers = pixels(spark, sf_dir).where("vec_id % 25 = 0").withColumn("v", F.col("a") / 2550.0)
-    return metrics.union_alpha(layers, "label", "pos", value="v").select("label", "pos", F.round("union_a", 6).alias("union_a"))
+SELECT model, label, count(ok) FILTER (e) AS n_bg, round(coalesce(avg(greatest((p / 255.0 - 0.5) * 8 - ln(0.05 / 0.95), 0)) FILTER (e AND ok IS NOT NULL), 0), 6) AS loss,
+round(coalesce(avg(-ln(greatest(1 - 1 / (1 + exp(-(p / 255.0 - 0.5) * 8)), 1e-7))) FILTER (e), 0), 6) AS bce FROM e LEFT JOIN o ON k = ok GROUP BY model, label""")
+def bg_hinge_value(spark, sf_dir):
+    """The hinge over eroded true background of the samples that pass the soft-ratio gate, and the cross-entropy over all."""
+    rows = scored_models(spark, sf_dir).select("model", "label", F.transform("pred", lambda p: (p / 255.0 - 0.5) * 8).alias("logit"), F.transform("gt", lambda g: F.when(g < 100, 0).otherwise(g)).alias("truth"))
+    each = kernels.background_losses(rows, ["model", "label"], "logit", "truth", SIDE, 1, 0.05, 0.8)
+    mean = lambda total, n: F.round(F.coalesce(F.try_divide(F.sum(total), F.sum(n)), F.lit(0.0)), 6)
+    return each.groupBy("model", "label").agg(F.sum("gated").alias("n_bg"), mean("hinge", "gated").alias("loss"), mean("bce", "n_bg").alias("bce"))
 
 
 @query(f"WITH {PIXELS} SELECT label, pos, round(sum(ln(1 - a / 2550.0)), 6) AS log_clear, round(1 - exp(sum(ln(1 - a / 2550.0))), 6) AS union_a FROM px GROUP BY label, pos")
-def alpha_union_all(spark, sf_dir):
-    """``alpha_union`` over every row; the logarithm tells large labels apart where the union nears 1."""
+def alpha_union(spark, sf_dir):
+    """The union of all layers of a label; the logarithm tells large labels apart where the union nears 1."""
     layers = pixels(spark, sf_dir).withColumn("v", F.col("a") / 2550.0)
     return metrics.union_log(layers, "label", "pos", value="v").select("label", "pos", F.round("log_clear", 6).alias("log_clear"), F.round(1 - F.exp("log_clear"), 6).alias("union_a"))
 
@@ -163,12 +145,13 @@ def instance_max_merge(spark, sf_dir):
 
 @query(f"WITH {PIXELS} SELECT vec_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM px WHERE a > 170 GROUP BY vec_id")
 def alpha_bbox(spark, sf_dir):
-    return metrics.bounding_box(pixels(spark, sf_dir), "vec_id", 170)
+    boxed = alphas(spark, sf_dir).select("vec_id", al.bounding_box(F.col("a8"), SIDE, 170).alias("box"))
+    return boxed.where("box IS NOT NULL").select("vec_id", "box.*")
 
 
 @query(f"WITH {PIXELS} SELECT vec_id, y // 4 AS cy, x // 4 AS cx, sum(a) / count(*) AS mean_a FROM px GROUP BY ALL")
 def block_mean(spark, sf_dir):
-    return metrics.block_mean(pixels(spark, sf_dir), "vec_id", 4)
+    return kernels.block_mean(alphas(spark, sf_dir), ["vec_id"], "a8", SIDE, 4)
 
 
 @query(f"WITH {RESULTS} SELECT label, model, mae FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY mae) AS rk FROM r) WHERE rk = 1")
@@ -197,15 +180,32 @@ def conn_components(spark, sf_dir):
     return kernels.component_sizes(alphas(spark, sf_dir), "vec_id", "a8", SIDE, 128)
 
 
-@query()
+NEAR = " ".join(f"least(lab[p], CASE WHEN {inside} THEN lab[{at}] ELSE 99 END)," for inside, at in (("(p - 1) % 8 > 0", "p - 1"), ("(p - 1) % 8 < 7", "p + 1"), ("p > 8", "p - 8"), ("p <= 56", "p + 8")))
+
+
+@query(f"""WITH RECURSIVE {SCORED}, c AS (SELECT row_number() OVER () AS k, model, vec_id, pred, gt FROM p),
+z AS (SELECT 0 AS i, k, t, list_transform(range(1, 65), lambda p: CASE WHEN least(pred[p], gt[p]) / 255.0::DOUBLE >= t * 0.1::DOUBLE THEN p ELSE 99 END) AS lab FROM c, (SELECT unnest(range(1, 11)) AS t)),
+r AS (SELECT * FROM z UNION ALL SELECT i + 1, k, t, list_transform(range(1, 65), lambda p: CASE WHEN lab[p] = 99 THEN 99 ELSE least({NEAR} 99) END) FROM r WHERE i < 40),
+f AS (SELECT k, t, unnest(range(1, 65)) AS p, unnest(lab) AS root FROM r WHERE i = 40),
+s2 AS (SELECT k, t, root, count(*) AS n FROM f WHERE root < 99 GROUP BY ALL),
+core AS (SELECT k, t, root FROM s2 QUALIFY row_number() OVER (PARTITION BY k, t ORDER BY n DESC, root) = 1),
+held AS (SELECT f.k, f.t, f.p, core.root IS NOT NULL AS inside FROM f LEFT JOIN core ON f.k = core.k AND f.t = core.t AND f.root = core.root),
+lev AS (SELECT k, p, coalesce(min(t) FILTER (NOT inside) - 1, 10) * 0.1::DOUBLE AS l FROM held GROUP BY k, p),
+d AS (SELECT c.k, pred[lev.p] / 255.0::DOUBLE - l AS a, gt[lev.p] / 255.0::DOUBLE - l AS b FROM c JOIN lev ON c.k = lev.k),
+e AS (SELECT k, round(sum(abs(CASE WHEN a >= 0.15 THEN a ELSE 0 END - CASE WHEN b >= 0.15 THEN b ELSE 0 END)) / 1000, 9) AS conn FROM d GROUP BY k)
+SELECT model, vec_id, conn FROM c JOIN e ON c.k = e.k""")
 def conn_error(spark, sf_dir):
-    """No SQL: connectivity degrees need a labelling for each of eleven thresholds."""
     return kernels.pair_metrics(scored_models(spark, sf_dir), ["model", "vec_id"], "pred", "gt", SIDE).select("model", "vec_id", "conn")
 
 
-@query()
+@query(f"""WITH {SCORED}, tap AS (SELECT x, exp(-0.5 * pow(x / 1.4::DOUBLE, 2)) AS b FROM (SELECT unnest(range(-6, 7)) AS x)),
+nt AS (SELECT x, b / sum(b) OVER () AS w, b / sum(b) OVER () * x / (1.4::DOUBLE * 1.4::DOUBLE) AS dw FROM tap),
+m8 AS (SELECT i, CASE WHEN i + x < 0 THEN -(i + x) - 1 WHEN i + x > 7 THEN 15 - (i + x) ELSE i + x END AS j, sum(w) AS s, sum(dw) AS d FROM nt, (SELECT unnest(range(8)) AS i) GROUP BY ALL),
+q AS (SELECT model, vec_id, pos // 8 AS y, pos % 8 AS x, pred[pos + 1] / 255.0::DOUBLE AS p, gt[pos + 1] / 255.0::DOUBLE AS g FROM p, (SELECT unnest(range(64)) AS pos)),
+h AS (SELECT model, vec_id, y, i AS x, sum(s * p) AS ps, sum(d * p) AS pd, sum(s * g) AS gs, sum(d * g) AS gd FROM q JOIN m8 ON x = j GROUP BY ALL),
+v AS (SELECT model, vec_id, i, x, sum(d * ps) AS py, sum(s * pd) AS px, sum(d * gs) AS gy, sum(s * gd) AS gx FROM h JOIN m8 ON y = j GROUP BY ALL)
+SELECT model, vec_id, round(sum(pow(sqrt(px * px + py * py) - sqrt(gx * gx + gy * gy), 2)) / 1000, 9) AS grad FROM v GROUP BY ALL""")
 def grad_error(spark, sf_dir):
-    """No SQL: Gaussian-derivative filters; tested against analytic cases."""
     return kernels.pair_metrics(scored_models(spark, sf_dir), ["model", "vec_id"], "pred", "gt", SIDE).select("model", "vec_id", "grad")
 
 
@@ -244,11 +244,11 @@ TOKENS = "string_split(p_partkey || '_x_' || p_size || '_' || replace(p_name, '
 
 
 @query(f"""WITH k AS (SELECT p_partkey AS id, {TOKENS} AS t FROM part), n AS (SELECT id, t, list_filter(range(1, len(t) + 1), lambda i: regexp_full_match(t[i], '[0-9]+')) AS d FROM k)
-SELECT id, CASE WHEN len(d) >= 2 THEN t[d[2] + 1] END AS token, CASE WHEN lower(CASE WHEN len(d) >= 2 THEN t[d[2] + 1] END) < 'm' THEN 'thin' ELSE 'complex' END AS category FROM n""")
+SELECT id, CASE WHEN len(d) >= 2 THEN t[d[2] + 1] END AS token, CASE WHEN lower(CASE WHEN len(d) >= 2 THEN t[d[2] + 1] END) IN {tx.THIN_CLASSES} THEN 'thin' ELSE 'complex' END AS category FROM n""")
 def token_class(spark, sf_dir):
     stems = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("_", F.col("p_partkey").cast("string"), F.lit("x"), F.col("p_size").cast("string"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("stem"))
     token = tx.class_token(F.col("stem"))
-    return stems.select("id", token.alias("token"), F.when(F.lower(token) < "m", "thin").otherwise("complex").alias("category"))
+    return stems.select("id", token.alias("token"), tx.thin_or_complex(token).alias("category"))
 
 
 COPIES = "c AS (SELECT doc_id, lang, doc_id || '_o00' AS copy_id, 'original' AS kind FROM documents UNION ALL SELECT doc_id, lang, doc_id || '_v' || lpad(CAST(k AS VARCHAR), 2, '0'), 'variant' FROM (SELECT doc_id, lang, unnest(range(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 3 ELSE 1 END)) AS k FROM documents))"
@@ -283,14 +283,8 @@ def manifest_append_merge(spark, sf_dir):
     return manifest.append_merge(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) l FULL OUTER JOIN labels r ON l.doc_id = r.doc_id GROUP BY 1")
-def pair_audit(spark, sf_dir):
-    return manifest.one_sided(table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
-
-
 @query("SELECT CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM documents l FULL OUTER JOIN labels r ON l.doc_id = r.doc_id GROUP BY 1")
-def pair_audit_all(spark, sf_dir):
-    """``pair_audit`` of whole documents against whole labels."""
+def pair_audit(spark, sf_dir):
     return manifest.one_sided(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
@@ -329,10 +323,11 @@ def shard_assign(spark, sf_dir):
     return sampling.shards(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7000)
 
 
-@query("SELECT 'epoch_' || o_orderkey || '.pth' AS name, CAST(o_orderkey AS INT) AS epoch, row_number() OVER (ORDER BY o_orderkey DESC) <= 3 AS keep FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT 'epoch_' || o_orderkey || '.pth' AS name, CAST(o_orderkey AS INT) AS epoch, row_number() OVER (ORDER BY o_orderkey DESC) <= 3 AS keep FROM orders")
 def retain_latest(spark, sf_dir):
-    shown = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("epoch_"), "o_orderkey", F.lit(".pth"))).otherwise(F.concat(F.lit("epoch_x"), "o_orderkey", F.lit(".pth")))
-    return sampling.retain(table(spark, sf_dir, "orders").select(shown.alias("name")), "name", 3)
+    """Every order names a checkpoint and, beside it, a file that is none."""
+    shown = F.array(F.concat(F.lit("epoch_"), "o_orderkey", F.lit(".pth")), F.concat(F.lit("epoch_x"), "o_orderkey", F.lit(".pth")))
+    return sampling.retain(table(spark, sf_dir, "orders").select(F.explode(shown).alias("name")), "name", 3)
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey, CAST(5000 // n + CAST(row_number() OVER (ORDER BY p_partkey) <= 5000 % n AS INT) AS INT) AS n_copies FROM part, n")
@@ -428,21 +423,15 @@ def quick_eval(spark, sf_dir):
     return metrics.subset_mean(scored, chosen, "vec_id", "sad_i").select(F.round("mean", 6).alias("mean"), "n")
 
 
-@query("""SELECT p_size, round(0.0001::DOUBLE * sqrt(p_size * 2 / 4.0::DOUBLE), 12) AS rate, round(pow(0.9::DOUBLE, p_size), 9) AS decay, p_size > 40 AND p_size <= 50 AS reweight
+@query("""SELECT p_size, round(0.0001::DOUBLE * sqrt(p_size * 2 / 4.0::DOUBLE), 12) AS rate, round(pow(0.9::DOUBLE, p_size), 9) AS decay, p_size > 40 AS reweight
 FROM (SELECT DISTINCT p_size FROM part)""")
 def training_schedule(spark, sf_dir):
     sizes = table(spark, sf_dir, "part").select("p_size").distinct()
     return sizes.select("p_size", F.round(schedule.effective_rate(F.lit(0.0001), F.col("p_size"), F.lit(2)), 12).alias("rate"), F.round(schedule.decay(F.col("p_size")), 9).alias("decay"), schedule.reweight(F.col("p_size"), F.lit(50), F.lit(10)).alias("reweight"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS cell FROM pages""")
-def gallery_cells(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.html_escape(F.substring("html", 1, 200)).alias("cell"))
-
-
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS cell FROM pages""")
-def gallery_cells_whole(spark, sf_dir):
-    """``gallery_cells`` with the whole of each page."""
+def gallery_cells(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.html_escape(F.col("html")).alias("cell"))
 
 

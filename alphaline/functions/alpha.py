@@ -59,3 +59,45 @@ def sigmoid(x: Column) -> Column:
 
 def luminance(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def share_where(alpha: Column, test) -> Column:
+    """The share of values that pass a test."""
+    return F.size(F.filter(alpha, test)) / F.size(alpha)
+
+
+def bokeh_source(alpha: Column) -> Column:
+    """Solid pixels (over 90 %) are at least 5 % and exact background at least 15 % of a map."""
+    return (share_where(alpha, lambda a: a * 10 > 9 * 255) >= 0.05) & (share_where(alpha, lambda a: a == 0) >= 0.15)
+
+
+def mixed_opacity(alpha: Column) -> Column:
+    """Solid pixels (over 90 %) and soft ones are each at least 8 % of a map."""
+    return (share_where(alpha, lambda a: a * 10 > 9 * 255) >= 0.08) & (share_where(alpha, soft) >= 0.08)
+
+
+def usable_template(elements: Column, width: Column, height: Column) -> Column:
+    """At least four elements, sides of 200 and an aspect of at most 2.6."""
+    return (elements >= 4) & (F.least(width, height) >= 200) & (F.greatest(width, height) / F.least(width, height) <= 2.6)
+
+
+def acceptable_render(cover: Column, preview_difference: Column) -> Column:
+    """Foreground on 8 to 92 % of the canvas, and a mean difference from the preview of at most 25 (8-bit)."""
+    return cover.between(0.08, 0.92) & (preview_difference <= 25)
+
+
+def bounding_box(alpha: Column, width: int, threshold: int) -> Column:
+    """The half-open box of the pixels above a threshold; null without any. No pixel becomes a row."""
+    places = F.filter(F.transform(alpha, lambda a, i: F.when(a > threshold, i)), lambda i: i.isNotNull())
+    xs, ys = F.transform(places, lambda i: i % width), F.transform(places, lambda i: F.floor(i / width).cast("int"))
+    box = F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), (F.array_max(xs) + 1).alias("x1"), (F.array_max(ys) + 1).alias("y1"))
+    return F.when(F.size(places) > 0, box)
+
+
+def gaussian_weight(distance: Column, sigma: Column) -> Column:
+    return F.exp(-distance * distance / (2 * sigma * sigma))
+
+
+def compact_fade(distance: Column, radius: Column) -> Column:
+    """One at the centre, zero from the radius on."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / radius))

@@ -18,15 +18,21 @@ def decay(epoch: Column, factor: float = 0.9) -> Column:
 
 
 def reweight(epoch: Column, total: Column, last: Column) -> Column:
-    """Whether an epoch lies in the final ``last`` epochs of a run; false for senseless inputs."""
-    return F.when((last <= 0) | (total <= 0), False).otherwise((epoch > total - last) & (epoch <= total))
+    """Whether an epoch lies in the final ``last`` epochs of a run; never in runs that are not longer."""
+    return F.when((last == 0) | (total <= last), False).otherwise(epoch > total - last)
 
 
-def cut_bounds(low: Column, high: Column, size: Column, least: Column) -> Column:
-    """``(from, to)`` of a cut: whole pixels inside the size, null when shorter than ``least``."""
-    begin = F.greatest(F.ceil(low), F.lit(0))
-    end = F.least(F.floor(high), size)
-    return F.when(end - begin >= least, F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end")))
+def cut_bounds(low: Column, high: Column, length: Column, least: Column, side: str) -> Column:
+    """``(begin, end)``, the pixels that a cut may take from the subject's box ``[low, high)`` on one axis.
+
+    A cut takes 20-60 % of the box, leaves ``least`` pixels of the image and some of the box; null
+    where no cut does. ``side`` is the end of the axis that goes: "lo" or "hi".
+    """
+    box = high - low
+    kept = length - least - low if side == "lo" else high - least
+    begin = F.greatest(F.lit(1), F.ceil(0.2 * box)).cast("int")
+    end = F.least(F.floor(0.6 * box).cast("int"), kept, box - 1).cast("int")
+    return F.when(end >= begin, F.struct(begin.alias("begin"), end.alias("end")))
 
 
 def copies_for(target: Column, sources: Column, average: Column) -> Column:

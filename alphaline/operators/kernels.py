@@ -16,19 +16,94 @@ def _schema(df: DataFrame, keys: list[str], extra: str) -> str:
     return ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [extra])
 
 
-def pair_metrics(pairs: DataFrame, keys: list[str], pred: str, truth: str, width: int) -> DataFrame:
-    """``keys``, ``grad`` and ``conn`` of 8-bit prediction and truth arrays."""
+def per_image(maps: DataFrame, keys: list[str], inputs: list[str], work: Callable[..., list[tuple]], fields: str) -> DataFrame:
+    """``keys`` and the fields of the rows that ``work(*arrays)`` makes of each row's arrays."""
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            a = [np.asarray(x, float).reshape(-1, width) / 255 for x in frame[pred]]
-            b = [np.asarray(x, float).reshape(-1, width) / 255 for x in frame[truth]]
-            out = frame[keys].copy()
-            out["grad"] = [round(px.grad_error(p, g), 9) for p, g in zip(a, b, strict=True)]
-            out["conn"] = [round(px.conn_error(p, g), 9) for p, g in zip(a, b, strict=True)]
-            yield out
+            made = [work(*map(np.asarray, row)) for row in zip(*(frame[c] for c in inputs), strict=True)]
+            out = frame[keys].loc[frame.index.repeat([len(m) for m in made])].reset_index(drop=True)
+            yield out.join(pd.DataFrame([r for m in made for r in m], columns=names, dtype=object))
+
+    return maps.select(*keys, *inputs).mapInPandas(run, _schema(maps, keys, fields))
+
+
+def pair_metrics(pairs: DataFrame, keys: list[str], pred: str, truth: str, width: int) -> DataFrame:
+    """``keys``, ``grad`` and ``conn`` of 8-bit prediction and truth arrays."""
+
+    def work(p: np.ndarray, g: np.ndarray) -> list[tuple]:
+        a, b = (x.reshape(-1, width) / 255 for x in (p, g))
+        return [(round(px.grad_error(a, b), 9), round(px.conn_error(a, b), 9))]
+
+    return per_image(pairs, keys, [pred, truth], work, "grad double, conn double")
+
+
+def background_residue(pairs: DataFrame, keys: list[str], pred: str, background: str, width: int, radius: int, min_pixels: int) -> DataFrame:
+    """Mean alpha and share of smeared pixels (> 5 %) over the eroded background of each image.
+
+    ``background`` is an array of flags; null where fewer than ``min_pixels`` are left.
+    """
+
+    def work(p: np.ndarray, flags: np.ndarray) -> list[tuple]:
+        rest = p[px.erode(flags.astype(bool).reshape(-1, width), radius, False).ravel()]
+        if len(rest) < min_pixels:
+            return [(len(rest), None, None)]
+        return [(len(rest), float(rest.sum() / (len(rest) * 255)), float((rest * 100 > 5 * 255).mean()))]
+
+    return per_image(pairs, keys, [pred, background], work, "n bigint, bg_mae double, bg_smear double")
+
+
+def eroded_sizes(maps: DataFrame, keys: list[str], flags: str, width: int, radius: int) -> DataFrame:
+    """How many pixels of a mask survive erosion, with a clear and with a set outside."""
+
+    def work(mask: np.ndarray) -> list[tuple]:
+        shaped = mask.astype(bool).reshape(-1, width)
+        return [tuple(int(px.erode(shaped, radius, outside).sum()) for outside in (False, True))]
+
+    return per_image(maps, keys, [flags], work, "n_erode bigint, n_keep bigint")
+
+
+def block_mean(maps: DataFrame, keys: list[str], alpha: str, width: int, side: int) -> DataFrame:
+    """The mean of each ``side`` x ``side`` cell; borders repeat the last pixel."""
+
+    def work(a: np.ndarray) -> list[tuple]:
+        means = px.block_means(a.reshape(-1, width), side)
+        return [(y, x, float(means[y, x])) for y in range(means.shape[0]) for x in range(means.shape[1])]
+
+    return per_image(maps, keys, [alpha], work, "cy int, cx int, mean_a double")
+
+
+def background_losses(pairs: DataFrame, keys: list[str], logit: str, truth: str, width: int, radius: int, tau: float, max_soft_ratio: float, eps: float = 1e-7) -> DataFrame:
+    """Background pixels and summed losses of each image, over eroded exact background.
+
+    ``hinge`` (over the logit of ``tau``) exempts images whose 8-bit truth is softer than
+    ``max_soft_ratio`` (``gated`` pixels count for it); ``bce`` is the cross-entropy against zero.
+    """
+    limit = float(np.log(tau / (1 - tau)))
+
+    def work(z: np.ndarray, g: np.ndarray) -> list[tuple]:
+        used = z[px.erode((g == 0).reshape(-1, width), radius, True).ravel()]
+        soft = ((g * 100 > 5 * 255) & (g * 100 < 95 * 255)).mean()
+        hinge = float(np.maximum(used - limit, 0).sum()) if soft <= max_soft_ratio else 0.0
+        bce = float(-np.log(np.maximum(1 - 1 / (1 + np.exp(-used)), eps)).sum())
+        return [(len(used), len(used) if soft <= max_soft_ratio else 0, hinge, bce)]
+
+    return per_image(pairs, keys, [logit, truth], work, "n_bg bigint, gated bigint, hinge double, bce double")
+
+
+def all_metrics(pairs: DataFrame, keys: list[str], pred: str, truth: str, width: int, radius: int, min_pixels: int) -> DataFrame:
+    """Long form ``(keys, metric, value)`` of every metric of 8-bit arrays; what can't be measured is absent."""
+
+    def work(p: np.ndarray, g: np.ndarray) -> list[tuple]:
+        a, b = (x.reshape(-1, width) / 255 for x in (p, g))
+        out = [("sad", np.abs(a - b).sum() / 1000), ("mae", np.abs(a - b).mean()), ("mse", ((a - b) ** 2).mean()), ("grad", px.grad_error(a, b)), ("conn", px.conn_error(a, b))]
+        rest = a[px.erode(b == 0, radius, False)]
+        if len(rest) >= max(min_pixels, 1):
+            out += [("bg_mae", rest.mean()), ("bg_smear", (rest > 0.05).mean())]
+        return [(k, float(v)) for k, v in out]
 
-    return pairs.select(*keys, pred, truth).mapInPandas(run, _schema(pairs, keys, "grad double, conn double"))
+    return per_image(pairs, keys, [pred, truth], work, "metric string, value double")
 
 
 def component_sizes(maps: DataFrame, key: str, alpha: str, width: int, threshold: int) -> DataFrame:

@@ -44,35 +44,6 @@ def deltas(results: DataFrame, baseline: str, category: str, model: str, value:
     return joined.select(category, model, F.col(value).alias("value"), "base", F.round(delta, 4).alias("delta_pct"), verdict.alias("verdict"))
 
 
-def erode(pixels: DataFrame, key: str, radius: int, outside: bool) -> DataFrame:
-    """``pixels(key, y, x, b)`` with ``e``: whether the whole box of that radius is set.
-
-    ``outside`` tells whether pixels beyond the border count as set.
-    """
-    row, column = Window.partitionBy(key, "y").orderBy("x"), Window.partitionBy(key, "x").orderBy("y")
-    size = 2 * radius + 1
-
-    def whole(flag: str, window) -> Column:
-        box = window.rowsBetween(-radius, radius)
-        full = F.sum(flag).over(box)
-        return full == (F.count(F.lit(1)).over(box) if outside else F.lit(size))
-
-    across = pixels.withColumn("__h", whole("b", row).cast("int"))
-    return across.withColumn("e", whole("__h", column)).drop("__h")
-
-
-def background_residue(pixels: DataFrame, key: str, radius: int, min_pixels: int, *keep: str) -> DataFrame:
-    """Mean alpha and share of smeared pixels (> 5 %) over eroded exact background.
-
-    ``pixels(key, y, x, p, g)``; null where fewer than ``min_pixels`` background pixels are left.
-    """
-    flagged = erode(pixels.withColumn("b", (F.col("g") == 0).cast("int")), key, radius, False)
-    n = F.count_if("e")
-    sums = flagged.groupBy(key, *keep).agg(n.alias("n"), F.sum(F.when(F.col("e"), F.col("p")).otherwise(0)).alias("s"), F.count_if(F.col("e") & (F.col("p") * 100 > 5 * 255)).alias("m"))
-    enough = F.col("n") >= min_pixels
-    return sums.select(key, *keep, "n", F.when(enough, F.col("s") / (F.col("n") * 255)).alias("bg_mae"), F.when(enough, F.col("m") / F.col("n")).alias("bg_smear"))
-
-
 def union_alpha(layers: DataFrame, *position: str, value: str) -> DataFrame:
     """``1 - product(1 - a)`` of the layers at each position."""
     return layers.groupBy(*position).agg((1 - F.product(1 - F.col(value))).alias("union_a"))
@@ -83,44 +54,16 @@ def union_log(layers: DataFrame, *position: str, value: str) -> DataFrame:
     return layers.groupBy(*position).agg(F.sum(F.ln(1 - F.col(value))).alias("log_clear"))
 
 
+def screen_fold(layers: Column) -> Column:
+    """``1 - product(1 - a)`` of an array of values."""
+    return 1 - F.aggregate(layers, F.lit(1.0), lambda clear, a: clear * (1 - a))
+
+
 def over_fold(layers: Column) -> Column:
     """Source-over of an ordered array of ``(z, value, alpha)`` structs, lowest z first."""
     return F.aggregate(F.array_sort(layers), F.lit(0.0), lambda below, top: top["alpha"] * top["value"] + (1 - top["alpha"]) * below)
 
 
-def bounding_box(pixels: DataFrame, key: str, threshold: int) -> DataFrame:
-    """Half-open boxes of the pixels above a threshold; keys without such pixels are absent."""
-    return pixels.where(F.col("a") > threshold).groupBy(key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
-
-
-def block_mean(pixels: DataFrame, key: str, side: int) -> DataFrame:
-    """Mean alpha of each ``side`` x ``side`` cell."""
-    cell = pixels.select(key, F.floor(F.col("y") / side).cast("int").alias("cy"), F.floor(F.col("x") / side).cast("int").alias("cx"), "a")
-    return cell.groupBy(key, "cy", "cx").agg((F.sum("a") / F.count(F.lit(1))).alias("mean_a"))
-
-
-def background_hinge(logit: Column, tau: float) -> Column:
-    """How far a background logit stands above the tolerated one."""
-    return F.greatest(logit - al.logit(F.lit(tau)), F.lit(0.0))
-
-
-def hinge_loss(pixels: DataFrame, key: str, radius: int, tau: float, max_soft_ratio: float, *keep: str) -> DataFrame:
-    """The mean hinge of ``pixels(key, y, x, logit, g)`` by ``keep`` over eroded exact background.
-
-    Samples whose truth ``g`` (8-bit) is softer than ``max_soft_ratio`` are exempt; zero where no background is left.
-    """
-    marked = erode(pixels.withColumn("b", (F.col("g") == 0).cast("int")), key, radius, True)
-    ratio = pixels.groupBy(key).agg((F.count_if(al.soft(F.col("g"))) / F.count(F.lit(1))).alias("__ratio"))
-    used = F.col("e") & (F.col("__ratio") <= max_soft_ratio)
-    hinge = F.coalesce(F.avg(F.when(used, background_hinge(F.col("logit"), tau))), F.lit(0.0))
-    return marked.join(ratio, key).groupBy(*keep).agg(F.count_if(used).alias("n_bg"), hinge.alias("loss"))
-
-
-def background_bce(p: Column, eps: float = 1e-7) -> Column:
-    """Cross-entropy of a background probability against zero."""
-    return -F.ln(F.greatest(1 - p, F.lit(eps)))
-
-
 def weighted_mean(value: Column, weight: Column) -> Column:
     """The mean of batch means, each weighted with its size."""
     return F.sum(value * weight) / F.sum(weight)

@@ -42,6 +42,10 @@ def gaussian(image: np.ndarray, sigma: float, orders: tuple[int, int] = (0, 0))
     return _along(_along(image, _kernel(sigma, orders[0]), 0), _kernel(sigma, orders[1]), 1)
 
 
+def luminance(image: np.ndarray) -> np.ndarray:
+    return image @ np.array([0.299, 0.587, 0.114])
+
+
 def gradient_magnitude(alpha: np.ndarray, sigma: float = 1.4) -> np.ndarray:
     return np.hypot(gaussian(alpha, sigma, (1, 0)), gaussian(alpha, sigma, (0, 1)))
 
@@ -86,20 +90,36 @@ def largest_component(mask: np.ndarray) -> np.ndarray:
     return label == 1 + int(counts.argmax()) if len(counts) else np.zeros(mask.shape, bool)
 
 
-def conn_error(pred: np.ndarray, truth: np.ndarray, step: float = 0.1, tolerance: float = 0.15) -> float:
-    """Connectivity error, in thousands: how much farther from the shared core a pixel's alpha is."""
-    level = np.full(truth.shape, -1.0)
-    thresholds = np.arange(0, 1 + step / 2, step)
-    for before, now in zip(thresholds[:-1], thresholds[1:], strict=True):
-        core = largest_component((pred >= now) & (truth >= now))
-        level[(level < 0) & ~core] = before
-    level[level < 0] = 1.0
-
-    def degree(alpha: np.ndarray) -> np.ndarray:
-        far = alpha - level
-        return 1 - far * (far >= tolerance)
+def conn_error(pred: np.ndarray, truth: np.ndarray, grades: int = 10, tolerance: float = 0.15) -> float:
+    """Connectivity error, in thousands.
 
-    return float(np.abs(degree(pred) - degree(truth)).sum() / 1000)
+    At each grade of opacity the core is the largest region where both maps reach it. A pixel is
+    connected up to the last grade of the unbroken row of cores that hold it; opacity beyond that
+    grade by ``tolerance`` or more is disconnected, and its difference counts.
+    """
+    heights = np.arange(grades + 1) * (1 / grades)
+    both = np.minimum(pred, truth)
+    cores = np.array([largest_component(both >= height) for height in heights[1:]])
+    connected = heights[np.logical_and.accumulate(cores, axis=0).sum(axis=0)]
+    loose = [np.where(alpha - connected >= tolerance, alpha - connected, 0.0) for alpha in (pred, truth)]
+    return float(np.abs(loose[0] - loose[1]).sum() / 1000)
+
+
+def erode(mask: np.ndarray, radius: int, outside: bool) -> np.ndarray:
+    """Where the whole box of a radius is set; ``outside`` tells whether the pixels beyond the border are."""
+    size = 2 * radius + 1
+    for axis in range(2):
+        pads = [(0, 0), (0, 0)]
+        pads[axis] = (radius, radius)
+        mask = np.lib.stride_tricks.sliding_window_view(np.pad(mask, pads, constant_values=outside), size, axis).all(axis=-1)
+    return mask
+
+
+def block_means(alpha: np.ndarray, side: int) -> np.ndarray:
+    """The mean of each cell; the last pixels are repeated to whole cells."""
+    h, w = alpha.shape
+    padded = np.pad(alpha, ((0, -h % side), (0, -w % side)), mode="edge")
+    return padded.reshape(padded.shape[0] // side, side, -1, side).mean(axis=(1, 3))
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -151,7 +171,7 @@ def jitter(image: np.ndarray, alpha: np.ndarray, rng: np.random.Generator, flips
     """Brightness, contrast, saturation and blur of the colour; a flip is all that alpha may get."""
     out = image * rng.uniform(0.85, 1.15)
     out = (out - out.mean()) * rng.uniform(0.85, 1.15) + out.mean()
-    grey = (out @ np.array([0.299, 0.587, 0.114]))[..., None]
+    grey = luminance(out)[..., None]
     out = grey + (out - grey) * rng.uniform(0.85, 1.15)
     if rng.random() < 0.3:
         out = gaussian(out, rng.uniform(0.3, 1.2))
@@ -175,26 +195,34 @@ def defocus(image: np.ndarray, alpha: np.ndarray, sigma: float) -> np.ndarray:
     return over(foreground(image, alpha), alpha, np.clip(blurred, 0, 1))
 
 
-def cut_window(alpha: np.ndarray, rng: np.random.Generator, least: float = 0.5) -> tuple[int, int, int, int] | None:
-    """A window that cuts 20-60 % of the subject's box at one edge but keeps enough of its area."""
-    ys, xs = np.nonzero(alpha > 0.5)
-    if not len(ys):
-        return None
-    y0, y1, x0, x1 = ys.min(), ys.max() + 1, xs.min(), xs.max() + 1
-    h, w = alpha.shape
+def cut_window(alpha: np.ndarray, rng: np.random.Generator, least: float = 0.5, second: float = 0.35) -> tuple[int, int, int, int] | None:
+    """A window ``(top, left, bottom, right)`` whose border runs through the subject, or None.
+
+    One edge is cut, sometimes also a perpendicular one; at least ``least`` of the area stays.
+    """
+    window = np.array([[0, alpha.shape[0]], [0, alpha.shape[1]]])
+
+    def cut(axis: int, end: int, keep: float) -> bool:
+        (y0, y1), (x0, x1) = window
+        inside = np.flatnonzero((alpha[y0:y1, x0:x1] > 0.5).any(axis=1 - axis))
+        if not len(inside):
+            return False
+        low, high = window[axis, 0] + inside[0], window[axis, 0] + inside[-1] + 1
+        room = (high if end else alpha.shape[axis] - low) - int(np.ceil(keep * alpha.shape[axis]))
+        first, last = max(1, int(np.ceil(0.2 * (high - low)))), min(int(0.6 * (high - low)), room, high - low - 1)
+        if last < first:
+            return False
+        taken = int(rng.integers(first, last + 1))
+        window[axis, end] = high - taken if end else low + taken
+        return True
+
     for edge in rng.permutation(4):
-        share = rng.uniform(0.2, 0.6)
-        box = [0, 0, h, w]
-        if edge == 0:
-            box[0] = int(y0 + share * (y1 - y0))
-        elif edge == 1:
-            box[2] = int(y1 - share * (y1 - y0))
-        elif edge == 2:
-            box[1] = int(x0 + share * (x1 - x0))
-        else:
-            box[3] = int(x1 - share * (x1 - x0))
-        if (box[2] - box[0]) * (box[3] - box[1]) >= least * h * w and box[2] > box[0] and box[3] > box[1]:
-            return tuple(int(b) for b in box)
+        axis = int(edge) // 2
+        if cut(axis, int(edge) % 2, least):
+            if rng.random() < second:
+                share = np.ptp(window[axis]) / alpha.shape[axis]
+                any(cut(1 - axis, int(end), least / share) for end in rng.permutation(2))
+            return tuple(int(v) for v in window.T.ravel())
     return None
 
 
@@ -205,8 +233,8 @@ def value_noise(shape: tuple[int, int], cell: int, rng: np.random.Generator) ->
 
 
 def octaves(shape: tuple[int, int], cell: int, rng: np.random.Generator) -> np.ndarray:
-    """Two octaves of noise, stretched to [0, 1]."""
-    noise = value_noise(shape, cell, rng) + 0.5 * value_noise(shape, max(cell // 2, 1), rng)
+    """Two octaves of noise, weighed 0.65 and 0.35, stretched to [0, 1]."""
+    noise = 0.65 * value_noise(shape, cell, rng) + 0.35 * value_noise(shape, max(cell // 2, 1), rng)
     low, high = noise.min(), noise.max()
     return (noise - low) / (high - low) if high > low else np.zeros(shape)
 
@@ -265,26 +293,25 @@ def smoke(alpha: np.ndarray, rng: np.random.Generator, low: float = 0.1, high: f
     return np.where(alpha > 0, alpha, wisps)
 
 
-def halftone(image: np.ndarray, cell: int = 6) -> np.ndarray:
-    """Dots whose area follows each cell's darkness; borders repeat the last pixel."""
-    grey = image @ np.array([0.299, 0.587, 0.114])
-    h, w = grey.shape
-    padded = np.pad(grey, ((0, -h % cell), (0, -w % cell)), mode="edge")
-    mean = padded.reshape(padded.shape[0] // cell, cell, -1, cell).mean(axis=(1, 3))
+def halftone(image: np.ndarray, cell: int = 6, ink_colour=(0.0, 0.0, 0.0), paper_colour=(1.0, 1.0, 1.0)) -> np.ndarray:
+    """Dots of ink on paper whose area follows each cell's darkness; borders repeat the last pixel."""
+    mean = block_means(luminance(image), cell)
+    h, w = image.shape[:2]
     radius = np.repeat(np.repeat(np.sqrt((1 - mean) / np.pi) * cell, cell, 0), cell, 1)[:h, :w]
     y, x = np.mgrid[0:h, 0:w] % cell - (cell - 1) / 2
-    return np.repeat((np.hypot(y, x) > radius).astype(float)[..., None], 3, 2)
+    return np.where((np.hypot(y, x) > radius)[..., None], np.array(paper_colour), np.array(ink_colour))
 
 
-def posterise(image: np.ndarray, levels: int = 4) -> np.ndarray:
-    return np.round(image * (levels - 1)) / (levels - 1)
+def posterise(image: np.ndarray, levels: int = 4, saturation: float = 1.0) -> np.ndarray:
+    grey = luminance(image)[..., None]
+    return np.round(np.clip(grey + saturation * (image - grey), 0, 1) * (levels - 1)) / (levels - 1)
 
 
-def ink(image: np.ndarray) -> np.ndarray:
-    """Black where dark or at strong edges, else white."""
-    grey = image @ np.array([0.299, 0.587, 0.114])
-    dark = (grey < 0.35) | (gradient_magnitude(grey, 1.0) > 0.15)
-    return np.repeat((~dark).astype(float)[..., None], 3, 2)
+def ink(image: np.ndarray, threshold: float = 0.35, edge: float = 0.15, ink_colour=(0.0, 0.0, 0.0), paper_colour=(1.0, 1.0, 1.0)) -> np.ndarray:
+    """Ink where dark or at strong edges, else paper."""
+    grey = luminance(image)
+    dark = (grey < threshold) | (gradient_magnitude(grey, 1.0) > edge)
+    return np.where(dark[..., None], np.array(ink_colour), np.array(paper_colour))
 
 
 FILTERS = {"none": lambda x: x, "halftone": halftone, "posterise": posterise, "ink": ink}

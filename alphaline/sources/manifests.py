@@ -14,21 +14,30 @@ from pyspark.sql.utils import AnalysisException
 
 from alphaline.functions import text as tx
 
-CATEGORIES = ("complex", "thin", "hair", "transparent", "camouflage", "general", "text", "fx", "illustration", "design", "product")
+# The categories of the manifest contract.
+CATEGORIES = (
+    "hair", "transparent", "thin", "product", "complex", "illustration",
+    "general", "camouflage", "text", "fx", "design",
+    "design_real",
+)
+KEYS = ("id", "image", "category", "gt_alpha")
 SCHEMA = "id string, image string, category string, gt_alpha string"
 
 
 def read_manifest(spark: SparkSession, path: str, categories=CATEGORIES) -> DataFrame:
-    """A strict JSON-lines manifest: malformed rows, unknown categories and repeated ids raise.
+    """A strict JSON-lines manifest: blank lines are skipped; a row that is no JSON object, lacks one
+    of the four keys (``gt_alpha`` may be null, but not absent), has an unknown category or repeats an
+    id raises.
 
     The id check is a join with the ids found twice, so it costs one shuffle of ids.
     """
-    rows = spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
-    bad = F.col("id").isNull() | F.col("image").isNull() | F.col("category").isNull() | ~F.col("category").isin(*categories)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", SCHEMA).alias("r"), F.json_object_keys("value").alias("keys")).select("value", "keys", "r.*")
+    whole = F.coalesce(F.size(F.array_intersect("keys", F.array(*map(F.lit, KEYS)))) == len(KEYS), F.lit(False))
+    bad = ~whole | F.col("id").isNull() | F.col("image").isNull() | F.col("category").isNull() | ~F.col("category").isin(*categories)
     twice = rows.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("__twice"))
     marked = rows.join(twice, "id", "left")
-    message = F.concat(F.lit("invalid manifest row: "), F.to_json(F.struct("id", "image", "category")))
-    checked = F.when(bad | F.col("__twice").isNotNull(), F.raise_error(message)).otherwise(F.col("id"))
+    checked = F.when(bad | F.col("__twice").isNotNull(), F.raise_error(F.concat(F.lit("invalid manifest row: "), "value"))).otherwise(F.col("id"))
     return marked.select(checked.alias("id"), "image", "category", "gt_alpha")
 
 

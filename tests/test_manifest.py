@@ -100,11 +100,11 @@ def test_text_functions(spark):
         tx.sanitise(F.lit("a#b c(d).jpg-stem")),
         tx.sanitise(F.lit("x## ##y")),
         tx.html_escape(F.lit("<a & \"b\">")),
-        tx.parse_counts(F.lit("edge=3,mixed=4")),
+        tx.parse_counts(F.lit("edge=3, mixed=4"), ("edge", "mixed", "bokeh")),
         tx.strip_key_prefix(F.create_map(F.lit("_orig_mod.w"), F.lit(1), F.lit("b"), F.lit(2))),
         tx.variant_of(F.lit("m+refine")),
     ).first()
-    assert tuple(row) == ("a_b_c_d_.jpg-stem", "x_y", "&lt;a &amp; &quot;b&quot;&gt;", {"edge": 3, "mixed": 4}, {"w": 1, "b": 2}, "refine")
+    assert tuple(row) == ("a_b_c_d_.jpg-stem", "x_y", "&lt;a &amp; &quot;b&quot;&gt;", {"edge": 3, "mixed": 4, "bokeh": 0}, {"w": 1, "b": 2}, "refine")
 
 
 def test_retention_is_numeric(spark):

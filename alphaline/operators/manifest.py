@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaline.functions import text as tx
@@ -123,3 +123,123 @@ def require_counts(rows: DataFrame, least: dict[str, tuple[Column, int]]) -> Dat
     counts = rows.agg(*[F.count_if(test).alias(name) for name, (test, _) in least.items()])
     checked = [F.when(F.col(name) >= n, F.col(name)).otherwise(F.raise_error(F.lit(f"fewer than {n} rows: {name}"))).alias(name) for name, (_, n) in least.items()]
     return counts.select(*checked)
+
+
+def common_stems(images: DataFrame, truths: DataFrame, path: str = "path") -> DataFrame:
+    """Stems with a ``.jpg`` image and a ``.png`` truth; leftovers named ``._*`` don't count."""
+
+    def stems(files: DataFrame, ending: str) -> DataFrame:
+        name = F.regexp_extract(path, r"([^/]+)$", 1)
+        return files.where(F.lower(name).endswith(ending) & ~name.startswith("._")).select(tx.stem(F.col(path)).alias("stem")).distinct()
+
+    return stems(images, ".jpg").join(stems(truths, ".png"), "stem", "left_semi")
+
+
+def category_or_other(stems: DataFrame, categories: DataFrame, key: str, category: str, other: str = "_other") -> DataFrame:
+    """Every stem with its category, ``other`` where none is known."""
+    return stems.join(categories.select(key, category), key, "left").withColumn(category, F.coalesce(category, F.lit(other)))
+
+
+def instance_or_flat(images: DataFrame, instances: DataFrame, flats: DataFrame, key: str, mask: str) -> DataFrame:
+    """Each image's mask: the pixel-wise maximum of its instances, else its flat file; images with neither go.
+
+    ``instances`` may have many rows for a key; their maxima combine before the shuffle.
+    """
+    spread = instances.select(key, F.posexplode(mask).alias("pos", "a")).groupBy(key, "pos").agg(F.max("a").alias("a"))
+    merged = spread.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "a"))), lambda p: p["a"]).alias("__merged"))
+    both = images.select(key).join(merged, key, "left").join(flats.select(key, F.col(mask).alias("__flat")), key, "left")
+    origin = F.when(F.col("__merged").isNotNull(), "instances").otherwise("flat")
+    return both.select(key, F.coalesce("__merged", "__flat").alias(mask), origin.alias("origin")).where(F.col(mask).isNotNull())
+
+
+def refresh_marker(marker: DataFrame | None, regenerated: DataFrame, key: str) -> DataFrame:
+    """The keys to revalidate: those marked before and those regenerated now."""
+    fresh = regenerated.select(key)
+    return (fresh if marker is None else marker.select(key).union(fresh)).distinct()
+
+
+def fetch_plan(remote: DataFrame, local: DataFrame, marker: DataFrame, key: str) -> DataFrame:
+    """``(key, action)``: fetch what is only remote, revalidate what is marked, keep the rest."""
+    here = local.select(key).distinct().withColumn("__here", F.lit(True))
+    marked = marker.select(key).distinct().withColumn("__marked", F.lit(True))
+    action = F.when(F.col("__here").isNull(), "fetch").when(F.col("__marked"), "revalidate").otherwise("keep")
+    return remote.select(key).distinct().join(here, key, "left").join(marked, key, "left").select(key, action.alias("action"))
+
+
+def skippable_shards(wanted: DataFrame, final: DataFrame, partial: DataFrame, files: DataFrame) -> DataFrame:
+    """``(name, pairs, state)`` of wanted shards: skip where an earlier entry agrees in pairs and its file in bytes.
+
+    Entries are ``(name, pairs, bytes)``; those of a partial manifest override those of a final one.
+    """
+    entries = final.select("name", "pairs", "bytes", F.lit(0).alias("n")).unionByName(partial.select("name", "pairs", "bytes", F.lit(1).alias("n")))
+    latest = entries.groupBy("name").agg(F.max_by(F.struct("pairs", "bytes"), "n").alias("e")).select("name", F.col("e.pairs").alias("__pairs"), F.col("e.bytes").alias("__bytes"))
+    joined = wanted.select("name", "pairs").join(latest, "name", "left").join(files.select("name", F.col("bytes").alias("__found")), "name", "left")
+    same = (F.col("pairs") == F.col("__pairs")) & (F.col("__bytes") > 0) & (F.col("__bytes") == F.col("__found"))
+    return joined.select("name", "pairs", F.when(same, "skip").otherwise("pack").alias("state"))
+
+
+def merge_audit(old: DataFrame, new: DataFrame, key: str, *sides: str) -> DataFrame:
+    """One row for each side of a merge: files before, growth, overwrites and files after.
+
+    ``old`` and ``new`` hold ``(side, key)``. Reading a row of two sides that end unequal raises.
+    """
+    a = old.select("side", key).distinct().withColumn("__old", F.lit(1))
+    b = new.select("side", key).distinct().withColumn("__new", F.lit(1))
+    joined = a.join(b, ["side", key], "full_outer").where(F.col("side").isin(*sides))
+    counts = joined.groupBy("side").agg(F.count("__old").alias("before"), F.count_if(F.col("__old").isNull()).alias("growth"), F.count_if(F.col("__old").isNotNull() & F.col("__new").isNotNull()).alias("overwritten"), F.count(F.lit(1)).alias("after"))
+    ends = counts.agg(F.countDistinct("after").alias("__ends"))
+    equal = F.when(F.col("__ends") <= 1, F.col("after")).otherwise(F.raise_error(F.lit("sides differ in size after the merge")))
+    return counts.join(F.broadcast(ends), F.lit(True)).select("side", "before", "growth", "overwritten", equal.alias("after"))
+
+
+def composite_audit(rows: DataFrame, files: DataFrame, category: str, multipliers: dict[str, int], default: int = 1) -> DataFrame:
+    """One row: composites expected by the categories' multipliers, files found, and whether they agree."""
+    counts = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
+    times = F.lit(default)
+    for name, n in multipliers.items():
+        times = F.when(F.col(category) == name, n).otherwise(times)
+    expected = counts.agg(F.coalesce(F.sum(F.col("n") * times), F.lit(0)).alias("expected"))
+    found = files.agg(F.count(F.lit(1)).alias("found"))
+    return expected.join(found, F.lit(True)).select("expected", "found", (F.col("expected") == F.col("found")).alias("complete"))
+
+
+def excluded_by_pool(raw: DataFrame, excluded: DataFrame, pool: str, stem: str, key: str) -> DataFrame:
+    """``(pool, n, n_excluded)``: raw files of each pool, and those whose id is excluded.
+
+    An id is the pool's name and the file's sanitised stem.
+    """
+    named = raw.select(F.col(pool).alias("pool"), F.concat_ws("_", pool, tx.sanitise(F.col(stem))).alias(key))
+    marked = named.join(excluded.select(key).distinct().withColumn("__out", F.lit(True)), key, "left")
+    return marked.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.count_if("__out").alias("n_excluded"))
+
+
+def archive_action(bad_exists: Column, archived_exists: Column) -> Column:
+    """What to do with a bad version: archive it, nothing, or refuse where both are there."""
+    return F.when(bad_exists & archived_exists, "refuse").when(archived_exists, "done").when(bad_exists, "archive").otherwise("nothing")
+
+
+def widened(ids: DataFrame, listing: DataFrame, key: str, category: str, images: str, truths: str) -> DataFrame:
+    """Full manifest rows of ``(key, category)`` whose files are both in ``listing(path)``."""
+    full = ids.select(F.col(key).cast("string").alias("id"), F.concat(F.lit(images), key, F.lit(".jpg")).alias("image"), category, F.concat(F.lit(truths), key, F.lit(".png")).alias("gt_alpha"))
+    known = listing.select("path").distinct()
+    return full.join(known, full["image"] == known["path"], "left_semi").join(known, full["gt_alpha"] == known["path"], "left_semi")
+
+
+def pool_fill(existing: DataFrame, candidates: DataFrame, order: str, target: int) -> DataFrame:
+    """The first candidates by ``order`` that a pool still lacks, numbered on from what is there; none once it is full."""
+    have = existing.count()
+    chosen = candidates.orderBy(order).limit(max(0, target - have))
+    return chosen.withColumn("number", F.lit(have) + F.row_number().over(Window.orderBy(order)) - 1)
+
+
+def same_sizes(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``(key, same)`` of left's pairs: both sizes are those of the copy on the right; a missing copy differs."""
+    there = right.select(key, F.struct("im_bytes", "gt_bytes").alias("__there"))
+    return left.join(there, key, "left").select(key, F.coalesce(F.struct("im_bytes", "gt_bytes") == F.col("__there"), F.lit(False)).alias("same"))
+
+
+def keep_full_statistics(old: DataFrame, new: DataFrame, key: str, rows: str) -> DataFrame:
+    """Statistics by key where a run over fewer rows does not replace one over more."""
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    best = F.max_by(F.struct(*old.columns), F.struct(rows, "__new")).alias("r")
+    return both.groupBy(F.col(key).alias("__k")).agg(best).select("r.*")

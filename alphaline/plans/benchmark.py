@@ -38,8 +38,17 @@ def markdown(results: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def gallery(rows: DataFrame, category: str, name: str, link: str) -> DataFrame:
-    """``(category, html)``: one table per category; names are escaped."""
+def gallery(rows: DataFrame, category: str, name: str, link: str, order: str | None = None) -> DataFrame:
+    """``(category, html)``: one table per category, in the order of the names or of ``order``; names are escaped."""
     cell = F.format_string("<figure><img src=\"%s\"><figcaption>%s</figcaption></figure>", tx.html_escape(F.col(link)), tx.html_escape(F.col(name)))
-    cells = rows.select(category, F.struct(F.col(name), cell.alias("cell")).alias("c"))
+    cells = rows.select(category, F.struct(F.col(order or name), cell.alias("cell")).alias("c"))
     return cells.groupBy(category).agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["cell"]), "").alias("html"))
+
+
+def export_statistics(rows: DataFrame, category: str) -> DataFrame:
+    """Rows, exact percentiles of the short side and the mean soft-alpha ratio by category.
+
+    ``rows(category, width, height, soft_ratio)``; the ratio is a mean of the images' ratios.
+    """
+    short = F.least("width", "height")
+    return rows.groupBy(category).agg(F.count(F.lit(1)).alias("total"), *[F.round(F.percentile(short, p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)], F.round(F.avg("soft_ratio"), 6).alias("soft_ratio"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,13 @@ def growth(events: DataFrame, time: str, kind: str, window: str = "1 hour", late
 def stalled(counts: list[int], polls: int = 6) -> bool:
     """Whether the last ``polls`` polls brought no growth."""
     return len(counts) > polls and counts[-1] <= counts[-1 - polls]
+
+
+def first_stall(polls: DataFrame, kind: str, order: list[str], count: str, patience: int = 6) -> DataFrame:
+    """``(kind, polls, stalled_at)``: the first poll that ends ``patience`` polls without a new maximum; null if none does."""
+    place = Window.partitionBy(kind).orderBy(*order)
+    before = F.max(count).over(place.rowsBetween(Window.unboundedPreceding, -1))
+    grown = polls.withColumn("__n", F.row_number().over(place)).withColumn("__grew", (F.col(count) > F.coalesce(before, F.lit(float("-inf")))).cast("int"))
+    last = F.max(F.when(F.col("__grew") == 1, F.col("__n"))).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    idle = grown.withColumn("__idle", F.col("__n") - last)
+    return idle.groupBy(kind).agg(F.count(F.lit(1)).alias("polls"), F.min(F.when(F.col("__idle") >= patience, F.col("__n"))).alias("stalled_at"))

@@ -9,10 +9,16 @@ about ``MAX_LABELLED`` of them; everything else covers every row and whole texts
 
 Documents use their source as the host (it has no suffix); pages use their url and html.
 
+The languages are the ``MAX_LANGUAGES`` most frequent labels (ties: the first by name), so that
+dirty labels neither widen the plan nor fill the driver; rows with other labels are judged like
+any other, by the models there are.
+
 Defined results: null and empty texts are decided by the priors; ties go to the first
 language by name; rows without a host use the suffix's or the global prior; rows that repeat
-an id are judged one by one; without labelled documents every language is ``und``; an empty
-table gives an empty result.
+an id, or are equal, are judged one by one; texts of any length are scored whole; without
+labelled documents every language is ``und``; an empty table of documents leaves nothing to
+learn from, so pages are ``und``; without either there are no rows; other columns of the tables
+are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from alphaline.llm.shared import cut
 from alphaline.llm.urls import host_of
 
 MAX_LABELLED = 20_000
+MAX_LANGUAGES = 64
 FEATURE_BITS = 15
 #: Trigrams overlap, so a text's summed log-likelihood counts with this weight.
 EVIDENCE = 0.3
@@ -76,7 +83,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages by name and their log-probabilities of the trigrams."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    n = labelled.count()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    labelled, n = labelled.where(F.col("lang").isin([r["lang"] for r in sizes])), sum(r["count"] for r in sizes)
     share = int(1_000_000 * min(1.0, MAX_LABELLED / max(n, 1))) + 1
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
     rows = chosen.mapInArrow(_count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()

@@ -9,7 +9,9 @@ Windows are judged on the input, not on what is left.
 Order of occurrences: doc_id, then the text's hash, then the place in the text. Defined
 results: a null text has no lines and stays null; lines without a word are kept and belong to
 no window; texts with fewer than three lines with words lose nothing; rows that repeat doc_id
-and text are one document and stay equal; an empty table gives an empty result.
+and text are one document and stay equal; a null id comes before all others; texts of any
+length are read whole; an empty table gives an empty result; columns of the input that are named
+like an inner one keep their own values.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ character that lies in an n-gram, or a line, found twice or more in its own text
 covered. A text fails when a covered share passes that length's limit. The work is one map
 over the rows: no shuffle, memory bounded by the chunk size (or one text, if longer).
 
-Defined results: a null or empty text has no words, fails the base rules and is rejected;
-ties cannot occur; repeated rows are judged alike; an empty table gives an empty result.
+Defined results: a null or empty text has no words, fails the base rules and is rejected; texts
+of any length are measured whole; ties cannot occur, as nothing is ranked; rows are judged one by
+one, so null and repeated ids and equal rows change nothing; an empty table gives an empty
+result; columns of the input named like a measure keep their own values in ``keep_good``.
 """
 
 from __future__ import annotations
@@ -119,3 +121,26 @@ def keep_good(docs: DataFrame) -> DataFrame:
         back = {c: f"__own_{c}" for c in clash}
         return keep_good(docs.withColumnsRenamed(back)).withColumnsRenamed({v: k for k, v in back.items()}).select(docs.columns)
     return measure(docs, keep=docs.columns).where("kept").select(docs.columns)
+
+
+def _gram_sql(n: int) -> str:
+    return f"""g{n} AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM (SELECT r, i, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS i FROM doc WHERE len(w) >= {n}))) WHERE c > 1),
+c{n} AS (SELECT r, count(*) AS words, sum(length(w[j])) AS chars FROM (SELECT DISTINCT r, unnest(range(i, i + {n})) AS j FROM g{n}) JOIN doc USING (r) GROUP BY r)"""
+
+
+ORACLE = rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+{", ".join(map(_gram_sql, NGRAM_LIMITS))},
+line AS (SELECT r, l, row_number() OVER (PARTITION BY r, l ORDER BY k) AS nth, count(*) OVER (PARTITION BY r, l) AS c FROM (
+  SELECT r, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM doc WHERE text IS NOT NULL) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+lines AS (SELECT r, count(*) FILTER (nth > 1) AS dups, sum(length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (c > 1) AS chars FROM line GROUP BY r),
+m AS (SELECT doc.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, coalesce(c{BASE_NGRAM}.words, 0) AS n_repeat_words,
+    {", ".join(f"coalesce(c{n}.chars, 0) / greatest(word_chars, 1)::DOUBLE AS dup_{n}gram_share" for n in NGRAM_LIMITS)}, coalesce(lines.chars, 0) / greatest(word_chars, 1)::DOUBLE AS dup_line_share
+  FROM doc {" ".join(f"LEFT JOIN c{n} ON c{n}.r = doc.r" for n in NGRAM_LIMITS)} LEFT JOIN lines ON lines.r = doc.r),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND {" AND ".join(f"dup_{n}gram_share <= {limit}" for n, limit in NGRAM_LIMITS.items())} AND dup_line_share <= {LINE_LIMIT} AS kept,
+  {", ".join(f"round({k}, 6) AS {k}" for k in SHARES)}
+FROM b
+"""

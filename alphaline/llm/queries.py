@@ -67,6 +67,7 @@ ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontam.ORACLE,
     "op2_substring_dedup": recompress.ORACLE,
     "op4_chat_formatting": toolcalls.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
     "op7_url_filters": urls.ORACLE,
     "op9_line_dedup": lines.ORACLE,
 }

@@ -10,8 +10,10 @@ links, never all pairs of a group. Shards are dealt out by a shuffle rather than
 their total grows with the corpus, so no bound for a broadcast could be proven.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any
-other; equal fingerprints are one node; rows that repeat a doc_id get the id's smallest
-component; a null id names no component; an empty table gives none.
+other; texts of any length are read whole; a bit that half of the hashes have set is zero;
+equal fingerprints are one node; rows that repeat a doc_id, or are equal, keep their own
+fingerprints and get the smallest id their fingerprint reaches; a null id names no component; an
+empty table gives none; other columns of the table are not read, so they may have any name.
 """
 
 from __future__ import annotations

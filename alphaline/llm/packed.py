@@ -116,7 +116,8 @@ def _occurring_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _in_a_smaller_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, more, ids, ties, places = unpack(table, more=np.uint32, ids=np.int64, ties=np.int64, places=np.int32)
+    names, more, most, ids, ties, places = unpack(table, more=np.uint16, most=np.uint8, ids=np.int64, ties=np.int64, places=np.int32)
+    more = more.astype(np.uint32) << np.uint32(8) | most
     order = np.lexsort((more, names))
     names, more, ids, ties, places = names[order], more[order], ids[order], ties[order], places[order]
     new = np.concatenate([[True], (names[1:] != names[:-1]) | (more[1:] != more[:-1])])
@@ -128,7 +129,7 @@ def _in_a_smaller_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def later_places(packed: DataFrame) -> DataFrame:
     """``(id, tie, payload)``: the places (int32) of names that a text with a smaller id also has.
 
-    The rows also carry 32 further bits of each name (``more``), ``ids``, ``ties`` and ``places``.
+    The rows also carry 24 further bits of each name (``more`` and ``most``), ``ids``, ``ties`` and ``places``.
     """
     return _answers(packed, _in_a_smaller_id, np.int32)
 

@@ -9,8 +9,8 @@ symbol whose range lies inside a window stands in every occurrence of that windo
 1. The symbols of ``ROUNDS`` rounds are exchanged (packed); a text learns which of its
    symbols a text with another id also has.
 2. A window survives if every symbol determined inside it is shared in this way.
-   Survivors are named by 96 bits of two independent hashes of their words; this check
-   decides (among 10**13 survivors a false match is expected less than once in a thousand runs).
+   Survivors are named by 88 bits of two independent hashes of their words; this check
+   decides (among 10**13 survivors a false match is expected in one of six runs).
 3. The words of the decided windows are removed.
 
 The texts are shuffled once, by id, and the exchange is reused by steps 2 and 3.
@@ -137,7 +137,7 @@ def _survivors(words, first_word, level, told) -> np.ndarray:
 
 def _send_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets, "more", "ids", "ties", "places")
+        packer = packed.Packer(buckets, "more", "most", "ids", "ties", "places")
         for batch in batches:
             if batch.column(0).null_count:
                 batch = batch.filter(batch.column(0).is_valid())
@@ -154,7 +154,8 @@ def _send_windows(buckets: int):
                 row_of = np.searchsorted(first_word[1:], at, side="right")
                 yield from packer.add(
                     tc.window_hash(words, WIDTH)[at],
-                    (other >> np.uint64(32)).astype(np.uint32),
+                    (other >> np.uint64(48)).astype(np.uint16),
+                    (other >> np.uint64(40)).astype(np.uint8),
                     ids[row:stop][row_of],
                     ties[row:stop][row_of],
                     (at - first_word[row_of]).astype(np.int32),
@@ -200,7 +201,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         own = (texts["doc_id"] == told["id"]) & (texts["tie"] == told["tie"])
         return texts.join(told.hint("shuffle_hash"), own, "left").select("doc_id", texts["tie"], "text", "payload")
 
-    windows = answered(known).mapInArrow(_send_windows(width), packed.schema("more", "ids", "ties", "places"))
+    windows = answered(known).mapInArrow(_send_windows(width), packed.schema("more", "most", "ids", "ties", "places"))
     decided = packed.later_places(windows)
     return answered(decided).select("doc_id", "text", "payload").mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 

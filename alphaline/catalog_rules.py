@@ -8,7 +8,7 @@ from alphaline.catalog import A8, COPIES, RESULTS, SCORED, SIDE, alphas, copies,
 from alphaline.functions import alpha as al
 from alphaline.functions import schedule
 from alphaline.functions import text as tx
-from alphaline.operators import kernels, manifest, metrics, sampling
+from alphaline.operators import generate, kernels, manifest, metrics, sampling
 from alphaline.plans import benchmark
 from alphaline.sources import manifests
 from alphaline.sources.scratch import scratch
@@ -393,6 +393,60 @@ def reweight_window(spark, sf_dir):
     return grid.select("epoch", "total", "last", schedule.reweight(F.col("epoch"), F.col("total"), F.col("last")).alias("reweight"))
 
 
+# --- generated copies
+
+
+SOLID = "len(list_filter(a, lambda x: x * 10 > 2295))"
+
+
+@query(f"{WIDE} SELECT vec_id || '_k00' AS copy_id, CAST(list_sum(a) AS BIGINT) AS alpha_sum FROM w WHERE {SOLID} * 20 >= len(a) AND len(list_filter(a, lambda x: x = 0)) * 20 >= 3 * len(a) AND vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) ORDER BY vec_id LIMIT 60")
+def bokeh_copies(spark, sf_dir):
+    """The first 60 sources with enough background, less those held out; their alpha stays as it is."""
+    held_out = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    planned = generate.plan(wide(spark, sf_dir).where(al.bokeh_source(F.col("a"))), "vec_id", "bokeh", excluded=held_out)
+    made = generate.make(sampling.first_n(planned, F.lit(True), 60, "vec_id"), ["copy_id"], "a", SIDE, generate.bokeh_copy)
+    return made.select("copy_id", F.aggregate("a8", F.lit(0).cast("long"), lambda s, a: s + a).alias("alpha_sum"))
+
+
+@query(f"{WIDE} SELECT vec_id || '_m0' || c AS copy_id, CAST(list_sum(a) AS BIGINT) AS alpha_sum FROM w, (SELECT unnest([0, 1]) AS c) WHERE {SOLID} * 100 >= 8 * len(a) AND len(list_filter(a, lambda x: x * 100 > 1275 AND x * 100 < 24225)) * 100 >= 8 * len(a) AND NOT (c = 0 AND vec_id % 2 = 0)")
+def mixed_copies(spark, sf_dir):
+    """Two copies of each mixed source, but for those that an earlier run left; their alpha stays as it is."""
+    sources = wide(spark, sf_dir).where(al.mixed_opacity(F.col("a")))
+    there = sources.where("vec_id % 2 = 0").select(F.concat("vec_id", F.lit("_m00")).alias("copy_id"))
+    made = generate.make(generate.plan(sources, "vec_id", "mixed", 2, existing=there), ["copy_id"], "a", SIDE, generate.mixed_copy)
+    return made.select("copy_id", F.aggregate("a8", F.lit(0).cast("long"), lambda s, a: s + a).alias("alpha_sum"))
+
+
+@query(f"""{WIDE}, px AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(a) AS a FROM w),
+b AS (SELECT vec_id, unnest(['x', 'y']) AS axis, unnest([min(pos % 8), min(pos // 8)]) AS lo, unnest([max(pos % 8), max(pos // 8)]) + 1 AS hi FROM px WHERE a > 127 GROUP BY vec_id),
+c AS (SELECT vec_id, greatest(1, CAST(ceil(0.2 * (hi - lo)::DOUBLE) AS BIGINT)) AS first, CAST(least(floor(0.6 * (hi - lo)::DOUBLE), hi - lo - 1, greatest(8 - lo, hi) - 4) AS BIGINT) AS last FROM b)
+SELECT w.vec_id || '_e00' AS copy_id, coalesce(bool_or(last >= first), false) AS cut, coalesce(bool_or(last >= first), false) AS touches FROM w LEFT JOIN c USING (vec_id) GROUP BY w.vec_id""")
+def edge_copies(spark, sf_dir):
+    """Copies whose border runs through the subject; sources that no cut fits have none."""
+    made = generate.make(generate.plan(wide(spark, sf_dir), "vec_id", "edge"), ["copy_id"], "a", SIDE, generate.edge_copy)
+    at = lambda test: F.exists(F.transform("a8", lambda a, i: (a > 127) & test(i)), lambda x: x)
+    border = at(lambda i: (i % F.col("width") == 0) | (i % F.col("width") == F.col("width") - 1) | (i < F.col("width")) | (i >= F.col("width") * (F.col("height") - 1)))
+    return made.select("copy_id", F.col("a8").isNotNull().alias("cut"), F.coalesce(border, F.lit(False)).alias("touches"))
+
+
+@query(f"{WIDE} SELECT label, count(*) AS n, 64 * count(*) AS pixels, true AS sound FROM (SELECT label, unnest(range(CASE WHEN label < 3 THEN 3 WHEN label = 3 THEN 0 ELSE 1 END)) FROM w JOIN embeddings USING (vec_id)) GROUP BY label")
+def composite_copies(spark, sf_dir):
+    """Composites by the labels' multipliers, on backgrounds of the same size."""
+    sources = wide(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    times = F.when(F.col("label") < 3, 3).when(F.col("label") == 3, 0).otherwise(1)
+    made = generate.make(generate.plan(sources, "vec_id", "variant", times), ["copy_id", "label"], "a", SIDE, generate.composite_copy)
+    sound = F.forall("a8", lambda a: (a >= 0) & (a <= 255)) & (F.size("rgb") == 3 * F.size("a8"))
+    return made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("a8")).alias("pixels"), F.min(sound).alias("sound"))
+
+
+@query("SELECT vec_id || '_f00' AS copy_id, true AS kept, true AS capped FROM embeddings")
+def effects_copies(spark, sf_dir):
+    """Light effects: the subject's alpha never falls, light outside it stays at 90 % or less."""
+    made = generate.make(generate.plan(wide(spark, sf_dir), "vec_id", "effects"), ["copy_id", "a"], "a", SIDE, generate.effects_copy)
+    both = F.zip_with("a", "a8", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return made.select("copy_id", F.forall(both, lambda x: x["b"] >= x["a"]).alias("kept"), F.forall(both, lambda x: (x["b"] == x["a"]) | (x["b"] <= 230)).alias("capped"))
+
+
 # --- whole plans
 
 

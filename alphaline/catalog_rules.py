@@ -10,7 +10,7 @@ from alphaline.functions import schedule
 from alphaline.functions import text as tx
 from alphaline.operators import generate, kernels, manifest, metrics, sampling
 from alphaline.plans import benchmark
-from alphaline.sources import manifests
+from alphaline.sources import export, manifests
 from alphaline.sources.scratch import scratch
 from alphaline.sources.tables import table
 from alphaline.streaming import jobs
@@ -447,6 +447,54 @@ def effects_copies(spark, sf_dir):
     return made.select("copy_id", F.forall(both, lambda x: x["b"] >= x["a"]).alias("kept"), F.forall(both, lambda x: (x["b"] == x["a"]) | (x["b"] <= 230)).alias("capped"))
 
 
+# --- files of pairs, results and shards
+
+
+@query(f"WITH {RESULTS} SELECT model, label, CASE WHEN model = 'binary' THEN mae / 2 ELSE mae END AS mae FROM r WHERE model <> 'binary' OR label < 5")
+def result_files(spark, sf_dir):
+    """Results written by model, then one model again: its old rows go, the others stay."""
+    path = scratch(spark, "results")
+    old = results(spark, sf_dir)
+    export.write_results(old, path)
+    export.write_results(old.where("model = 'binary' AND label < 5").withColumn("mae", F.col("mae") / 2), path)
+    return export.read_results(spark, path).select("model", "label", "mae")
+
+
+@query(f"WITH m AS ({A8}) SELECT vec_id, 8 AS height, 8 AS width, round(len(list_filter(a8, lambda a: a * 100 > 1275 AND a * 100 < 24225)) / 64, 6) AS soft_ratio FROM m")
+def export_pairs(spark, sf_dir):
+    """An export in two calls, the second over all rows: what is there is not written again."""
+    rows = alphas(spark, sf_dir).select("vec_id", F.flatten(F.transform("a8", lambda a: F.array(a, a, a))).alias("rgb"), "a8", F.lit(SIDE).alias("w"))
+    pairs = export.encoded_pairs(rows, "vec_id", "rgb", "a8", "w")
+    path = scratch(spark, "export")
+    export.export_split(pairs.where("vec_id % 2 = 0"), "vec_id", path, "TRAIN")
+    export.export_split(pairs, "vec_id", path, "TRAIN")
+    return spark.read.parquet(path).select("vec_id", "height", "width", F.round("soft_ratio", 6).alias("soft_ratio"))
+
+
+@query("SELECT 'TRAIN_shard_' || lpad(CAST(s AS VARCHAR), 2, '0') || '.tar' AS name, count(*) AS pairs, count(*) * 2 AS members FROM (SELECT (row_number() OVER (ORDER BY page_id) - 1) // 100 AS s FROM pages) GROUP BY s")
+def tar_shards(spark, sf_dir):
+    """Pages as pairs of tar members, shards of 100; members are counted by reading the tars again."""
+    path = scratch(spark, "tars")
+    placed = sampling.global_rank(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+    shard = tx.shard_name(F.floor(F.col("rank") / 100).cast("int"))
+    stem = F.format_string("%06d", F.col("rank"))
+    pair = F.array(F.struct(F.concat(F.lit("gt/"), stem).alias("member"), F.encode("url", "UTF-8").alias("content")), F.struct(F.concat(F.lit("im/"), stem).alias("member"), F.encode("html", "UTF-8").alias("content")))
+    members = placed.select(shard.alias("shard"), F.explode(pair).alias("m")).select("shard", "m.member", "m.content")
+    manifests.write_tars(members, path).write.parquet(f"{path}-manifest")
+    entries = spark.read.parquet(f"{path}-manifest")
+    found = manifests.read_archives(spark, path, "tar").groupBy(F.regexp_extract("archive", "([^/]+)$", 1).alias("name")).agg(F.count("content").alias("members"))
+    return entries.join(found, "name").select("name", "pairs", "members")
+
+
+@query("SELECT name, problem FROM (SELECT 'w' || p_size AS name, 'missing' AS problem FROM part WHERE p_size % 7 = 0 UNION SELECT 'x' || p_size, 'unexpected' FROM part WHERE p_size < 5)")
+def checkpoint_keys(spark, sf_dir):
+    """Weights that a checkpoint lacks, and those it holds too many."""
+    sizes = table(spark, sf_dir, "part").select("p_size")
+    wanted = sizes.select(F.concat(F.lit("w"), "p_size").alias("name"))
+    held = sizes.where("p_size % 7 <> 0").select(F.concat(F.lit("w"), "p_size").alias("name")).union(sizes.where("p_size < 5").select(F.concat(F.lit("x"), "p_size")))
+    return export.key_difference(wanted, held, "name")
+
+
 # --- whole plans
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -34,7 +38,7 @@ def read_manifest(spark: SparkSession, path: str, categories=CATEGORIES) -> Data
     lines = spark.read.text(path).where(F.trim("value") != "")
     rows = lines.select("value", F.from_json("value", SCHEMA).alias("r"), F.json_object_keys("value").alias("keys")).select("value", "keys", "r.*")
     whole = F.coalesce(F.size(F.array_intersect("keys", F.array(*map(F.lit, KEYS)))) == len(KEYS), F.lit(False))
-    bad = ~whole | F.col("id").isNull() | F.col("image").isNull() | F.col("category").isNull() | ~F.col("category").isin(*categories)
+    bad = ~whole | ~F.trim("value").rlike(r"(?s)^\{.*\}$") | F.col("id").isNull() | F.col("image").isNull() | F.col("category").isNull() | ~F.col("category").isin(*categories)
     twice = rows.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("__twice"))
     marked = rows.join(twice, "id", "left")
     checked = F.when(bad | F.col("__twice").isNotNull(), F.raise_error(F.concat(F.lit("invalid manifest row: "), "value"))).otherwise(F.col("id"))
@@ -48,14 +52,19 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
     return numbered.where("id IS NOT NULL").groupBy("id").agg(F.max_by("category", "__at").alias("category"))
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The distinct ids of an output manifest; a missing file has none."""
+def _present(spark: SparkSession, path: str, read: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What ``read`` gives, or no rows where the path does not exist."""
     try:
-        return spark.read.schema("id string").json(path).where("id IS NOT NULL").distinct()
+        return read()
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return spark.createDataFrame([], "id string")
+        return spark.createDataFrame([], schema)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct ids of an output manifest; a missing file has none."""
+    return _present(spark, path, lambda: spark.read.schema("id string").json(path).where("id IS NOT NULL").distinct(), "id string")
 
 
 def append_manifest(rows: DataFrame, path: str, categories=CATEGORIES) -> None:
@@ -70,43 +79,108 @@ def excluded_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''").distinct()
 
 
-def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "webp"), recursive: bool = False) -> DataFrame:
-    """``(path, stem, extension, length)`` of a folder's files; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    listed = reader.load(folder).select("path", "length", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"))
+def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "webp"), recursive: bool = False, pattern: str = "*") -> DataFrame:
+    """``(path, stem, extension, length)`` of a folder's files whose names fit a glob; contents are not read.
+
+    A missing folder has none.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern)
+    listed = _present(spark, folder, lambda: reader.load(folder).select("path", "length"), "path string, length long")
+    listed = listed.select("path", "length", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"))
     named = listed.withColumn("stem", tx.stem(F.col("path")))
     return named.where(F.col("extension").isin(*extensions) & ~F.regexp_extract("path", r"([^/]+)$", 1).startswith("._"))
 
 
-def _members(open_archive) :
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                for member, data in open_archive(content):
-                    yield pd.DataFrame({"archive": [path], "member": [member], "content": [data]})
-
-    return run
-
-
-def _zip_members(content: bytes):
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+def _zip_members(stream):
+    with zipfile.ZipFile(stream) as archive:
         for info in archive.infolist():
             if not info.is_dir():
-                yield info.filename, archive.read(info)
+                yield info.filename, lambda info=info: archive.read(info)
 
 
-def _tar_members(content: bytes):
-    with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+def _tar_members(stream):
+    with tarfile.open(fileobj=stream, mode="r|*") as archive:
         for info in archive:
             if info.isfile():
-                yield info.name, archive.extractfile(info).read()
+                yield info.name, lambda info=info: archive.extractfile(info).read()
+
 
+def read_archives(spark: SparkSession, path: str, kind: str, pattern: str = "") -> DataFrame:
+    """``(archive, member, content)`` of zip or tar files whose members match ``pattern``.
+
+    Archives are opened where they lie (any URI that ``pyarrow.fs`` knows) and read member by
+    member, so one may be far larger than memory or a binary cell; what doesn't match isn't read.
+    An archive that is broken has one row with its error as ``member`` and no content.
+    """
+    opened, wanted = {"zip": _zip_members, "tar": _tar_members}[kind], re.compile(pattern)
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    with _open(name) as stream:
+                        for member, read in opened(stream):
+                            if wanted.search(member):
+                                yield _row(archive=name, member=member, content=read())
+                except (tarfile.TarError, zipfile.BadZipFile) as error:
+                    yield _row(archive=name, member=f"{type(error).__name__}: {error}", content=None)
+
+    return files.repartition("path").mapInArrow(run, "archive string, member string, content binary")
+
+
+def _open(uri: str):
+    system, at = pa_fs.FileSystem.from_uri(uri if "://" in uri else re.sub("^(file:)?/+", "file:///", uri))
+    return system.open_input_file(at)
+
+
+def _row(**values) -> pa.RecordBatch:
+    kinds = {"content": pa.binary(), "pairs": pa.int64(), "bytes": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.string())) for k, v in values.items()], names=list(values))
+
+
+def write_tars(members: DataFrame, folder: str) -> DataFrame:
+    """Write ``members(shard, member, content)`` as one tar a shard; ``(name, pairs, bytes)`` of what was written.
+
+    A shard's members come sorted by name, so images and truths of a stem keep their order, and
+    are streamed: a task holds one Arrow batch. A tar gets its name only once it is whole and
+    its members were counted again; a task that is repeated writes the same tar. The rows are
+    the shards' manifest entries (``pairs`` is half the members) and have to be kept, not read twice.
+    """
 
-def read_archives(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``(archive, member, content)`` of zip or tar files, one archive in memory at a time."""
-    opened = {"zip": _zip_members, "tar": _tar_members}[kind]
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.repartition("path").mapInPandas(_members(opened), "archive string, member string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((s, m, c) for batch in batches for s, m, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        for shard, own in groupby(rows, key=lambda r: r[0]):
+            system, base = pa_fs.FileSystem.from_uri(folder)
+            system.create_dir(base)
+            part, sent = f"{base}/.{shard}.{uuid.uuid4().hex}", 0
+            with system.open_output_stream(part) as sink, tarfile.open(fileobj=sink, mode="w|") as archive:
+                for _, member, content in own:
+                    info = tarfile.TarInfo(member)
+                    info.size = len(content)
+                    archive.addfile(info, io.BytesIO(content))
+                    sent += 1
+            with system.open_input_file(part) as stream, tarfile.open(fileobj=stream, mode="r|") as archive:
+                found = sum(1 for _ in archive)
+            if found != sent:
+                raise RuntimeError(f"{shard}: {found} members of {sent} were written")
+            system.move(part, f"{base}/{shard}")
+            yield _row(name=shard, pairs=sent // 2, bytes=system.get_file_info(f"{base}/{shard}").size)
+
+    placed = members.select("shard", "member", "content").repartition("shard").sortWithinPartitions("shard", "member")
+    return placed.mapInArrow(run, "name string, pairs bigint, bytes bigint")
+
+
+def font_files(spark: SparkSession, folder: str, least: int = 5) -> DataFrame:
+    """Files below a folder that begin like a font; fewer than ``least`` is only a warning column, none an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    magic = F.hex(F.substring("content", 1, 4))
+    # The first bytes of TrueType, OpenType and collection files.
+    fonts = files.where(magic.isin("00010000", "4F54544F", "74727565", "74746366")).select("path", "length")
+    n = fonts.count()
+    if n == 0:
+        raise ValueError(f"no fonts in {folder}")
+    return fonts.withColumn("few", F.lit(n < least))
 
 
 def read_pairs(spark: SparkSession, path: str, image: str = "image", truth: str = "mask") -> DataFrame:

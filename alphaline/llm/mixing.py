@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaline.llm.shared import cut
+from alphaline.llm.shared import cut, drop_cut
 
 DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
 #: Share of all tokens that each domain is to have.
@@ -83,7 +83,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     terms = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id").select("id", "domain", "half", F.size(_words(F.col("text"))).alias("n"), _terms(F.col("text")).alias("terms"))
     whole = F.sha2(F.concat_ws(" ", F.array_sort("terms")), 256).alias("whole")
     first = F.min_by(F.struct("half", "n", "terms"), "id").alias("t")
-    return cut(terms.groupBy("domain", whole).agg(first, F.countDistinct("id").alias("weight")).select("domain", "t.*", "weight"), "op10-texts")
+    texts = cut(terms.groupBy("domain", whole).agg(first, F.countDistinct("id").alias("weight")).select("domain", "t.*", "weight"), "op10-texts")
+    drop_cut(sample)
+    return texts
 
 
 def evidence_words(texts: DataFrame) -> list[tuple[str, int, list[float]]]:
@@ -181,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int, list[f
         x = np.array([[*r["__s"], np.log1p(r["n"]), 1.0] for r in held]).reshape(-1, SIZE + 2)
         y, weight = np.array([r["domain"] for r in held], int), np.array([float(r["weight"]) for r in held])
         calibrations.append(softmax_regression(x, y, weight))
+    drop_cut(texts)
     return [(word, h, w) for (word, h), w in sorted(ratios.items())], calibrations
 
 

@@ -36,11 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: ends its lineage.
 
-    The files outlive any executor. ``drop_cut`` removes them once they are no longer needed.
+    The files outlive any executor. ``drop_cut`` removes them once they are no longer needed; what
+    a result still reads from goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, at = _located(spark, path)
+    system.deleteOnExit(at)
     again = spark.read.schema(df.schema).parquet(path)
     again._cut_path = path  # type: ignore[attr-defined]
     return again
@@ -51,9 +54,13 @@ def drop_cut(df: DataFrame | None) -> None:
     path = getattr(df, "_cut_path", None)
     if path is None:
         return
-    spark = df.sparkSession
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    system, at = _located(df.sparkSession, path)
+    system.delete(at, True)
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

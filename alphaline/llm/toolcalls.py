@@ -199,6 +199,8 @@ def _levels(calls: DataFrame) -> DataFrame:
         ready = rest.join(reached, ["conv_id", "needed"], "left").groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("missing"), F.max(F.greatest("turn", "anchor")).alias("anchor"), (F.max("level") + 2).alias("level")).where("missing = 0").drop("missing")
         fresh = cut(ready, "op4-levels")
         if fresh.limit(1).count() == 0:
+            for table in (needs, waiting, fresh):
+                drop_cut(table)
             return done
         done, before = cut(done.unionByName(fresh), "op4-levels"), done
         drop_cut(before)

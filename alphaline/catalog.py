@@ -49,7 +49,7 @@ def scored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three models' predictions beside their label's ground truth."""
     maps = alphas(spark, sf_dir)
     truth = maps.groupBy("label").agg(F.min_by("a8", "vec_id").alias("gt"))
-    joined = maps.join(F.broadcast(truth), "label")
+    joined = maps.join(truth, "label")
     models = F.map_from_arrays(F.array(*map(F.lit, ("raw", "binary", "inverted"))), F.array(F.col("a8"), al.binarise(F.col("a8")), al.invert(F.col("a8"))))
     return joined.select("vec_id", "label", "gt", F.explode(models).alias("model", "pred"))
 

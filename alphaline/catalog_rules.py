@@ -220,7 +220,7 @@ def wide(spark, sf_dir):
 
 
 @query(f"{WIDE} SELECT vec_id, len(list_filter(a, lambda x: x * 10 > 2295)) * 20 >= len(a) AND len(list_filter(a, lambda x: x = 0)) * 20 >= 3 * len(a) AS bokeh, len(list_filter(a, lambda x: x * 10 > 2295)) * 100 >= 8 * len(a) AND len(list_filter(a, lambda x: x * 100 > 1275 AND x * 100 < 24225)) * 100 >= 8 * len(a) AS mixed FROM w")
-def opacity_sources(spark, sf_dir):
+def solid_and_soft_sources(spark, sf_dir):
     return wide(spark, sf_dir).select("vec_id", al.bokeh_source(F.col("a")).alias("bokeh"), al.mixed_opacity(F.col("a")).alias("mixed"))
 
 

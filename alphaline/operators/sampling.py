@@ -6,6 +6,8 @@ they are the same for any partitioning and input order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,14 @@ def first_n(rows: DataFrame, eligible: Column, n: int, *order: str) -> DataFrame
 RANGE_SAMPLE = 4000
 
 
+def _below(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most a value; looks at about twice the root of their number."""
+    step = max(1, math.isqrt(len(bounds)))
+    count = lambda some: F.size(F.filter(some, lambda b: b <= value))
+    whole = F.greatest(count(F.array(*map(F.lit, bounds[::step]))) - 1, F.lit(0)) * step
+    return whole + count(F.slice(F.array(*map(F.lit, bounds)), whole + 1, step))
+
+
 def global_rank(rows: DataFrame, key: str) -> DataFrame:
     """``rank`` from 0 by ``key`` over the whole table, without sorting it in one task.
 
@@ -106,7 +116,7 @@ def global_rank(rows: DataFrame, key: str) -> DataFrame:
     picked = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share).select(key).where(F.col(key).isNotNull()).collect()
     known, width = sorted({r[0] for r in picked}), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = [known[i * len(known) // width] for i in range(1, width)] if len(known) >= width else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    bucket = _below(F.col(key), bounds) if bounds else F.lit(0)
     dealt = rows.withColumn("__p", F.when(F.col(key).isNull(), -1).otherwise(bucket))
     local = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
     sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))

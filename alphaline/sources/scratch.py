@@ -13,7 +13,7 @@ _local: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; only a local session may go without that setting."""
+    """A fresh path in ``spark.checkpoint.dir``, removed when the application ends; only a local session may go without that setting."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,4 +23,7 @@ def scratch(spark: SparkSession, label: str) -> str:
             _local[app] = tempfile.mkdtemp(prefix="alphaline-")
             atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
         base = f"file://{_local[app]}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

@@ -9,7 +9,7 @@ from alphaline.functions import alpha as al
 from alphaline.functions import schedule
 from alphaline.functions import text as tx
 from alphaline.operators import generate, kernels, manifest, metrics, sampling
-from alphaline.plans import benchmark
+from alphaline.plans import benchmark, stages
 from alphaline.sources import export, manifests
 from alphaline.sources.scratch import scratch
 from alphaline.sources.tables import table
@@ -450,6 +450,25 @@ def effects_copies(spark, sf_dir):
 # --- files of pairs, results and shards
 
 
+@query("SELECT * FROM (VALUES (0, 'pool', 'skipped', NULL), (1, 'source a', 'failed', 'ValueError: no such source'), (2, 'source b', 'done', NULL), (3, 'manifest', 'done', NULL)) t(step, stage, state, detail) UNION ALL SELECT 4, 'counts', 'done', CAST(count(*) AS VARCHAR) FROM documents")
+def staged_job(spark, sf_dir):
+    """A job of stages: a pool that is full, a source that fails and one that does not, a manifest, its counts."""
+
+    def fail():
+        raise ValueError("no such source")
+
+    made: dict[str, str] = {}
+    steps = [
+        stages.Stage("pool", fail, done=lambda: True),
+        stages.Stage("source a", fail, tolerant=True),
+        stages.Stage("source b", lambda: made.update(path=scratch(spark, "staged")), tolerant=True),
+        stages.Stage("manifest", lambda: manifests.append_manifest(entries(spark, sf_dir), made["path"]), guard=lambda: None if "path" in made else "no source"),
+    ]
+    events = stages.run_stages(steps)
+    counts = manifests.read_manifest(spark, made["path"]).agg(F.lit(len(events)).alias("step"), F.lit("counts").alias("stage"), F.lit("done").alias("state"), F.count(F.lit(1)).cast("string").alias("detail"))
+    return stages.stage_log(spark, events).unionByName(counts)
+
+
 @query(f"WITH {RESULTS} SELECT model, label, CASE WHEN model = 'binary' THEN mae / 2 ELSE mae END AS mae FROM r WHERE model <> 'binary' OR label < 5")
 def result_files(spark, sf_dir):
     """Results written by model, then one model again: its old rows go, the others stay."""

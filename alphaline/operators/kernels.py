@@ -138,6 +138,21 @@ def predict(images: DataFrame, keys: list[str], image: str, load: Callable[[], C
     return images.select(*keys, image).mapInPandas(run, _schema(images, keys, "alpha array<double>, error string"))
 
 
+def cut_out(load: Callable[[], Callable[[np.ndarray], np.ndarray]], refine: bool = False) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """A loader of a model that maps an RGB image to RGBA: its alpha, asked again at soft regions on request."""
+
+    def loaded() -> Callable[[np.ndarray], np.ndarray]:
+        predict_alpha = load()
+
+        def process(image: np.ndarray) -> np.ndarray:
+            alpha = np.clip(predict_alpha(image), 0, 1)
+            return px.decontaminated(image, px.refine(image, alpha, predict_alpha) if refine else alpha)
+
+        return process
+
+    return loaded
+
+
 MODELS: dict[str, Callable[[], Callable[[np.ndarray], np.ndarray]]] = {
     "raw": lambda: lambda a: a,
     "binary": lambda: lambda a: (a >= 0.5).astype(float),

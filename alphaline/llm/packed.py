@@ -2,9 +2,13 @@
 
 Names (hashes of symbols or passages) leave the map side packed by bucket - one row per
 bucket and flush, holding NumPy arrays - so that a name costs about eight bytes of shuffle
-instead of a row. Buckets follow ``spark.sql.shuffle.partitions``. A name that is frequent in
-one map task is still sent once for each text that holds it, but as plain packed bytes. The
-bucket side answers with packed names for each text that has to know.
+instead of a row. Buckets follow ``spark.sql.shuffle.partitions``. The bucket side answers with
+packed names for each text that has to know.
+
+What a flush can tell by itself it settles: of a name that many of its texts hold, one or two
+representatives go to the bucket, which need not answer the others; their answers go straight to
+their homes, which are dealt out by the texts' ids. So a name that any share of all texts
+holds reaches its bucket at most twice from a flush of ``FLUSH_NAMES`` names.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ FLUSH_NAMES = 1 << 21
 
 
 class Packer:
-    """Collects names, with columns of equal length, and turns them into bucket rows."""
+    """Collects names, with columns of equal length, and turns them into rows for buckets and homes.
+
+    ``settle(names, *columns)`` gives a mask of what has to go to the buckets, and the ids, ties
+    and answers of the rest.
+    """
 
-    def __init__(self, buckets: int, *columns: str) -> None:
-        self.buckets, self.columns = buckets, ("names", *columns)
+    def __init__(self, places: int, settle, *columns: str, limit: int) -> None:
+        self.places, self.settle, self.columns, self.limit = places, settle, ("names", *columns), limit
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
@@ -34,7 +42,7 @@ class Packer:
         if len(parts[0]):
             self.parts.append(parts)
             self.held += len(parts[0])
-        if self.held >= FLUSH_NAMES:
+        if self.held >= self.limit:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -42,18 +50,38 @@ class Packer:
             return
         columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
         self.parts, self.held = [], 0
-        bucket = ((columns[0] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
+        open_, *told = self.settle(*columns)
+        columns = [c[open_] for c in columns]
+        bucket = ((columns[0] >> np.uint64(32)) * np.uint64(self.places)) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64))
+        cuts = np.searchsorted(bucket[order], np.arange(self.places + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(cuts))
         edges = np.append(cuts[full], len(order))
-        rest = [pa.array([_planes(c[order[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()) for c in columns[1:]]
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), tc.binary_rows(columns[0][order], edges), *rest], names=["bucket", *self.columns])
+        pieces = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        rest = [pa.array([_planes(c[order[a:b]]) for a, b in pieces], pa.binary()) for c in columns[1:]]
+        names = [*("place", *self.columns), "found"]
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), tc.binary_rows(columns[0][order], edges), *rest, pa.nulls(len(full), pa.binary())], names=names)
+        if len(told[0]):
+            home, *answers = _homeward(*told, self.places)
+            sent = {"place": pa.array(home + self.places, pa.int32()), **dict(zip(("ids", "ties", "found"), answers, strict=True))}
+            yield pa.RecordBatch.from_arrays([sent.get(n, pa.nulls(len(home), pa.binary())) for n in names], names=names)
 
 
 def schema(*columns: str) -> str:
-    """The Spark schema of a packer's rows."""
-    return "bucket int, names binary" + "".join(f", {c} binary" for c in columns)
+    """The Spark schema of a packer's rows: buckets come first among the places, homes after them."""
+    return "place int, names binary" + "".join(f", {c} binary" for c in columns) + ", found binary"
+
+
+def _homeward(ids: np.ndarray, ties: np.ndarray, found: np.ndarray, homes: int) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Answers packed by home, a hash of the text's id: homes, ids, ties and what was found."""
+    home = tc.mix(ids.view(np.uint64)) % np.uint64(homes)
+    order = np.lexsort((ids, home))
+    ids, ties, found, home = ids[order], ties[order], found[order], home[order]
+    firsts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+    cuts = np.append(firsts, len(home))
+    pieces = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    packed = [pa.array([_planes(c[a:b]) for a, b in pieces], pa.binary()) for c in (ids, ties)]
+    return home[firsts].astype(np.int32), *packed, tc.binary_rows(found, cuts)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -93,36 +121,82 @@ def short(names: np.ndarray) -> np.ndarray:
     return (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows with equal keys side by side, and the firsts of its groups; the first key is the most telling."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    return order, np.flatnonzero(new)
+
+
+def _back(order: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Flags of ordered rows as flags of the rows as they came."""
+    out = np.zeros(len(order), bool)
+    out[order[flags]] = True
+    return out
+
+
+def _shared(names: np.ndarray, ids: np.ndarray, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose name has another id too; of these, rows beside a first one of the least and of the largest id."""
+    order, firsts = _groups(names)
+    own = ids[order]
+    group = np.cumsum(np.isin(np.arange(len(order)), firsts)) - 1
+    least, most = np.minimum.reduceat(own, firsts), np.maximum.reduceat(own, firsts)
+    several = (least < most)[group]
+    if not first_only:
+        return _back(order, several), np.zeros(len(order), bool)
+    stays = np.zeros(len(order), bool)
+    for end in (least, most):
+        at = np.flatnonzero(own == end[group])
+        stays[at[np.unique(group[at], return_index=True)[1]]] = True
+    return _back(order, several), _back(order, several & ~stays)
+
+
+def settle_shared(names: np.ndarray, ids: np.ndarray, ties: np.ndarray):
+    """For ``shared_names``: a name that two ids of a flush hold is shared."""
+    _, known = _shared(names, ids, True)
+    return ~known, ids[known], ties[known], short(names[known])
+
+
+def settle_repeated(names: np.ndarray, ids: np.ndarray, ties: np.ndarray):
+    """For ``repeated_names``: from the third occurrence in a flush on, a name is repeated."""
+    order, firsts = _groups(names)
+    nth = np.arange(len(order)) - np.repeat(firsts, np.diff(np.append(firsts, len(order))))
+    known = _back(order, nth >= 2)
+    return ~known, ids[known], ties[known], names[known]
+
+
+def settle_later(names, more, most, ids, ties, places):
+    """For ``later_places``: a place is later if its name has a smaller id in the flush."""
+    known = _later(names, more, most, ids)
+    return ~known, ids[known], ties[known], places[known]
+
+
+def _later(names: np.ndarray, more: np.ndarray, most: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    order, firsts = _groups(names, more, most)
+    own = ids[order]
+    lowest = np.repeat(np.minimum.reduceat(own, firsts), np.diff(np.append(firsts, len(order))))
+    return _back(order, own > lowest)
+
+
 def _in_several_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names, ids, ties = unpack(table, ids=np.int64, ties=np.int64)
-    order = np.argsort(names, kind="stable")
-    names, ids, ties = names[order], ids[order], ties[order]
-    firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    several = np.minimum.reduceat(ids, firsts) < np.maximum.reduceat(ids, firsts)
-    shared = np.repeat(several, np.diff(np.append(firsts, len(names))))
+    shared, _ = _shared(names, ids, False)
     return ids[shared], ties[shared], short(names[shared])
 
 
 def _occurring_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, ids = unpack(table, ids=np.int64)
-    order = np.argsort(names, kind="stable")
-    names, ids = names[order], ids[order]
-    firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    names, ids, ties = unpack(table, ids=np.int64, ties=np.int64)
+    order, firsts = _groups(names)
     counts = np.diff(np.append(firsts, len(names)))
-    twice = np.repeat(counts > 1, counts)
-    names, ids = names[twice], ids[twice]
-    keep = np.concatenate([[True], (names[1:] != names[:-1]) | (ids[1:] != ids[:-1])]) if len(names) else np.zeros(0, bool)
-    return ids[keep], np.zeros(int(keep.sum()), np.int64), names[keep]
+    twice = _back(order, np.repeat(counts > 1, counts))
+    return ids[twice], ties[twice], names[twice]
 
 
 def _in_a_smaller_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names, more, most, ids, ties, places = unpack(table, more=np.uint16, most=np.uint8, ids=np.int64, ties=np.int64, places=np.int32)
-    more = more.astype(np.uint32) << np.uint32(8) | most
-    order = np.lexsort((more, names))
-    names, more, ids, ties, places = names[order], more[order], ids[order], ties[order], places[order]
-    new = np.concatenate([[True], (names[1:] != names[:-1]) | (more[1:] != more[:-1])])
-    lowest = np.minimum.reduceat(ids, np.flatnonzero(new))
-    later = ids > lowest[np.cumsum(new) - 1]
+    later = _later(names, more, most, ids)
     return ids[later], ties[later], places[later]
 
 
@@ -145,32 +219,22 @@ def repeated_names(packed: DataFrame) -> DataFrame:
 
 
 def _answers(packed: DataFrame, judge, kind: type) -> DataFrame:
-    """Judge every bucket and send what it says home: packed by a hash of the text's id first,
-    so that a bucket makes a row for each home and not for each text, then one row a text."""
-    homes = shuffle_partitions(packed.sparkSession)
+    """Judge every bucket and send what it says home, packed by home first, so that a bucket makes a
+    row for each home and not for each text, then one row a text. What flushes settled passes by."""
+    places = shuffle_partitions(packed.sparkSession)
 
     def tell(table: pa.Table) -> pa.Table:
-        ids, ties, found = judge(table)
-        home = tc.mix(ids.view(np.uint64)) % np.uint64(homes)
-        order = np.lexsort((ids, home))
-        ids, ties, found, home = ids[order], ties[order], found[order], home[order]
-        firsts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
-        cuts = np.append(firsts, len(home))
-        pieces = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        return pa.table(
-            {
-                "home": pa.array(home[firsts].astype(np.int32)),
-                "ids": pa.array([_planes(ids[a:b]) for a, b in pieces], pa.binary()),
-                "ties": pa.array([_planes(ties[a:b]) for a, b in pieces], pa.binary()),
-                "found": tc.binary_rows(found, cuts),
-            }
-        )
+        place = table.column("place")[0].as_py()
+        if place >= places:
+            return pa.table({"home": pa.array([place - places] * len(table), pa.int32()), **{c: table.column(c) for c in ("ids", "ties", "found")}})
+        home, *answers = _homeward(*judge(table), places)
+        return pa.table({"home": pa.array(home), **dict(zip(("ids", "ties", "found"), answers, strict=True))})
 
     def gather(table: pa.Table) -> pa.Table:
         ids, ties = (np.concatenate([_from_planes(raw, np.int64) for raw in table.column(c).to_pylist()]) for c in ("ids", "ties"))
         return by_id(ids, np.frombuffer(tc.utf8(table.column("found"))[0].tobytes(), kind), ties)
 
-    told = packed.groupBy("bucket").applyInArrow(tell, "home int, ids binary, ties binary, found binary")
+    told = packed.groupBy("place").applyInArrow(tell, "home int, ids binary, ties binary, found binary")
     return told.groupBy("home").applyInArrow(gather, "id bigint, tie bigint, payload binary")
 
 

@@ -101,8 +101,10 @@ def _level(data: np.ndarray, offsets: np.ndarray):
 
 
 def _send_symbols(buckets: int):
+    limit = packed.FLUSH_NAMES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets, "ids", "ties")
+        packer = packed.Packer(buckets, packed.settle_shared, "ids", "ties", limit=limit)
         for batch in batches:
             data, offsets = tc.utf8(batch.column(2))
             ids, ties = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(2))
@@ -136,8 +138,10 @@ def _survivors(words, first_word, level, told) -> np.ndarray:
 
 
 def _send_windows(buckets: int):
+    limit = packed.FLUSH_NAMES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets, "more", "most", "ids", "ties", "places")
+        packer = packed.Packer(buckets, packed.settle_later, "more", "most", "ids", "ties", "places", limit=limit)
         for batch in batches:
             if batch.column(0).null_count:
                 batch = batch.filter(batch.column(0).is_valid())

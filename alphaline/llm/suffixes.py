@@ -91,14 +91,16 @@ def anchored_segments(data: np.ndarray, offsets: np.ndarray):
 
 
 def _send_anchors(buckets: int):
+    limit = packed.FLUSH_NAMES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets, "ids")
+        packer = packed.Packer(buckets, packed.settle_repeated, "ids", "ties", limit=limit)
         for batch in batches:
             data, offsets = tc.utf8(batch.column(1))
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             for row, stop, part, local in tc.chunks(data, offsets):
                 names, _, _, _, rows = anchored_segments(part, local)
-                yield from packer.add(names, ids[row:stop][rows])
+                yield from packer.add(names, ids[row:stop][rows], np.zeros(len(rows), np.int64))
         yield from packer.flush()
 
     return run
@@ -314,7 +316,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     width = shuffle_partitions(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     source = docs.select(F.coalesce(doc_id, F.xxhash64("text")).alias("key"), doc_id.alias("doc_id"), "text")
-    anchors = source.select("key", "text").mapInArrow(_send_anchors(width), packed.schema("ids"))
+    anchors = source.select("key", "text").mapInArrow(_send_anchors(width), packed.schema("ids", "ties"))
     repeated = packed.repeated_names(anchors)
     texts = source.repartition(width, "key")
     asked = texts.join(repeated.hint("shuffle_hash"), texts["key"] == repeated["id"], "left").select("key", "text", "payload", "doc_id")  # the same columns as below: one exchange

@@ -493,3 +493,38 @@ def test_urls_tie_and_switch(spark):
     rules = spark.createDataFrame([("block", "a.b.com", "/"), ("allow", "b.com", "/xx"), ("block", "c.org", "/p")], "verdict string, rule_host string, rule_path string")
     pages = spark.createDataFrame([(1, "http://a.b.com/xx1", None), (2, "http://c.org/p", None), (3, "http://www.c.org/q", "")], "page_id long, url string, html string")
     assert {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()} == {1: ("b.com/xx", "allow"), 2: ("c.org/p", "block"), 3: (None, "allow")}
+
+
+@pytest.mark.parametrize("flush", [1, 40, 1 << 21])
+def test_flushes_settle_what_they_can(spark, monkeypatch, flush):
+    from alphaline.llm import packed
+
+    monkeypatch.setattr(packed, "FLUSH_NAMES", flush)
+    common = " ".join(f"c{k}" for k in range(120))
+    rows = [(k, f"{'a' * (k % 5)} {common} own{k} " + " ".join(f"u{k}x{j}" for j in range(30))) for k in range(40)] + [(7, common + " again"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    first = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    expected = []
+    for i, t in rows:
+        w, gone = (t or "").split(), set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        expected.append((i, len(w), len(gone)))
+    assert got(recompress.substring_report(docs), "doc_id", "n_words", "n_removed") == sorted(expected, key=str)
+    assert got(suffixes.repeat_report(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+
+
+def test_a_hot_name_reaches_its_bucket_twice():
+    from alphaline.llm import packed
+
+    names, ids = np.full(5000, 9, np.uint64), np.arange(5000, dtype=np.int64)
+    ties, places = np.zeros(5000, np.int64), np.zeros(5000, np.int32)
+    for settled in (packed.settle_shared(names, ids, ties), packed.settle_repeated(names, ids, ties)):
+        assert settled[0].sum() == 2 and len(settled[1]) == 4998
+    later = packed.settle_later(names, ties.astype(np.uint16), ties.astype(np.uint8), ids, ties, places)
+    assert np.flatnonzero(later[0]).tolist() == [0] and later[1].tolist() == list(range(1, 5000))

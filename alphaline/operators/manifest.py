@@ -187,9 +187,9 @@ def merge_audit(old: DataFrame, new: DataFrame, key: str, *sides: str) -> DataFr
     b = new.select("side", key).distinct().withColumn("__new", F.lit(1))
     joined = a.join(b, ["side", key], "full_outer").where(F.col("side").isin(*sides))
     counts = joined.groupBy("side").agg(F.count("__old").alias("before"), F.count_if(F.col("__old").isNull()).alias("growth"), F.count_if(F.col("__old").isNotNull() & F.col("__new").isNotNull()).alias("overwritten"), F.count(F.lit(1)).alias("after"))
-    ends = counts.agg(F.countDistinct("after").alias("__ends"))
-    equal = F.when(F.col("__ends") <= 1, F.col("after")).otherwise(F.raise_error(F.lit("sides differ in size after the merge")))
-    return counts.join(F.broadcast(ends), F.lit(True)).select("side", "before", "growth", "overwritten", equal.alias("after"))
+    every = Window.partitionBy(F.lit(1))  # one row a side
+    equal = F.when(F.min("after").over(every) == F.max("after").over(every), F.col("after")).otherwise(F.raise_error(F.lit("sides differ in size after the merge")))
+    return counts.select("side", "before", "growth", "overwritten", equal.alias("after"))
 
 
 def composite_audit(rows: DataFrame, files: DataFrame, category: str, multipliers: dict[str, int], default: int = 1) -> DataFrame:
@@ -198,9 +198,10 @@ def composite_audit(rows: DataFrame, files: DataFrame, category: str, multiplier
     times = F.lit(default)
     for name, n in multipliers.items():
         times = F.when(F.col(category) == name, n).otherwise(times)
-    expected = counts.agg(F.coalesce(F.sum(F.col("n") * times), F.lit(0)).alias("expected"))
-    found = files.agg(F.count(F.lit(1)).alias("found"))
-    return expected.join(found, F.lit(True)).select("expected", "found", (F.col("expected") == F.col("found")).alias("complete"))
+    expected = counts.select((F.col("n") * times).alias("expected"), F.lit(0).cast("long").alias("found"))
+    found = files.agg(F.count(F.lit(1)).alias("found")).select(F.lit(0).cast("long").alias("expected"), "found")
+    both = expected.unionByName(found).agg(F.sum("expected").alias("expected"), F.sum("found").alias("found"))
+    return both.select("expected", "found", (F.col("expected") == F.col("found")).alias("complete"))
 
 
 def excluded_by_pool(raw: DataFrame, excluded: DataFrame, pool: str, stem: str, key: str) -> DataFrame:

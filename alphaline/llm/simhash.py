@@ -105,16 +105,19 @@ class BKTree:
         self.values = [root]
         self.children: list[dict[int, int]] = [{}]
 
-    def near(self, value: int, radius: int) -> list[int]:
-        """Indices of the stored values within ``radius`` bits."""
-        found, stack = [], [0]
+    def search(self, value: int, radius: int) -> Iterator[int]:
+        """Indices of the stored values within ``radius`` bits, one by one, the root's first."""
+        stack = [0]
         while stack:
             at = stack.pop()
             far = (self.values[at] ^ value).bit_count()
             if far <= radius:
-                found.append(at)
+                yield at
             stack += [child for edge, child in self.children[at].items() if far - radius <= edge <= far + radius]
-        return found
+
+    def near(self, value: int, radius: int) -> list[int]:
+        """Indices of the stored values within ``radius`` bits."""
+        return list(self.search(value, radius))
 
     def add(self, value: int) -> int:
         """Store a new value; its index."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaline.llm import decontam, langid, lines, mixing, quality, recompress, simhash, suffixes, toolcalls, urls
+from alphaline.llm import decontam, langid, lexical, licenses, lines, mixing, quality, recompress, simhash, suffixes, toolcalls, urls, whitening
 from alphaline.llm.shared import read_table
 
 
@@ -50,6 +50,18 @@ def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing_weights": op10_mixing_weights,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_license_scans": op12_license_scans,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +85,6 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE,
     "op7_url_filters": urls.ORACLE,
     "op9_line_dedup": lines.ORACLE,
+    "op12_license_scans": licenses.ORACLE,
+    "op13_ranked_lexical_search": lexical.ORACLE,
 }

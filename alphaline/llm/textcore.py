@@ -164,3 +164,11 @@ def binary_rows(items: np.ndarray, cuts: np.ndarray) -> pa.Array:
     items = np.ascontiguousarray(items)
     ends = (cuts.astype(np.int64) * items.dtype.itemsize)
     return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(items.tobytes())]).cast(pa.binary())
+
+
+_FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def folded_words(text: str | None) -> list[bytes]:
+    """Maximal runs of letters, digits and characters beyond ASCII, only A-Z lower-cased; null has none."""
+    return (text or "").encode().translate(_FOLD).split()

@@ -24,17 +24,19 @@ from alphaline.llm.shared import shuffle_partitions
 
 #: Names held by a map task before it sends them.
 FLUSH_NAMES = 1 << 21
+#: Bytes of a symbol's name that ``shared_names`` compares: it only rules texts out.
+SYMBOL_BYTES = 6
 
 
 class Packer:
     """Collects names, with columns of equal length, and turns them into rows for buckets and homes.
 
     ``settle(names, *columns)`` gives a mask of what has to go to the buckets, and the ids, ties
-    and answers of the rest.
+    and answers of the rest. Of each name the upper ``name_bytes`` are sent.
     """
 
-    def __init__(self, places: int, settle, *columns: str, limit: int) -> None:
-        self.places, self.settle, self.columns, self.limit = places, settle, ("names", *columns), limit
+    def __init__(self, places: int, settle, *columns: str, limit: int, name_bytes: int = 8) -> None:
+        self.places, self.settle, self.columns, self.limit, self.name_bytes = places, settle, ("names", *columns), limit, name_bytes
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
@@ -60,7 +62,7 @@ class Packer:
         pieces = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         rest = [pa.array([_planes(c[order[a:b]]) for a, b in pieces], pa.binary()) for c in columns[1:]]
         names = [*("place", *self.columns), "found"]
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), tc.binary_rows(columns[0][order], edges), *rest, pa.nulls(len(full), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), _name_rows(columns[0][order], edges, self.name_bytes), *rest, pa.nulls(len(full), pa.binary())], names=names)
         if len(told[0]):
             home, *answers = _homeward(*told, self.places)
             sent = {"place": pa.array(home + self.places, pa.int32()), **dict(zip(("ids", "ties", "found"), answers, strict=True))}
@@ -84,6 +86,13 @@ def _homeward(ids: np.ndarray, ties: np.ndarray, found: np.ndarray, homes: int)
     return home[firsts].astype(np.int32), *packed, tc.binary_rows(found, cuts)
 
 
+def _name_rows(names: np.ndarray, edges: np.ndarray, width: int) -> pa.Array:
+    if width == 8:
+        return tc.binary_rows(names, edges)
+    upper = np.ascontiguousarray(names.view(np.uint8).reshape(-1, 8)[:, 8 - width :]).view(f"V{width}").ravel()
+    return tc.binary_rows(upper, edges)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Differences of neighbours, byte plane by byte plane: what the shuffle's codec packs well."""
     steps = values.copy()
@@ -97,9 +106,12 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.cumsum(steps, dtype=kind)
 
 
-def unpack(table: pa.Table, **kinds: type) -> list[np.ndarray]:
-    """The names and further columns of one bucket's rows."""
-    names = np.frombuffer(tc.utf8(table.column("names"))[0].tobytes(), np.uint64)
+def unpack(table: pa.Table, name_bytes: int = 8, **kinds: type) -> list[np.ndarray]:
+    """The names (with zeros for what was not sent) and further columns of one bucket's rows."""
+    upper = tc.utf8(table.column("names"))[0].reshape(-1, name_bytes)
+    whole = np.zeros((len(upper), 8), np.uint8)
+    whole[:, 8 - name_bytes :] = upper
+    names = whole.view(np.uint64).ravel()
     return [names, *(np.concatenate([_from_planes(raw, kind) for raw in table.column(c).to_pylist()]) for c, kind in kinds.items())]
 
 
@@ -117,8 +129,8 @@ def by_id(ids: np.ndarray, found: np.ndarray, ties: np.ndarray | None = None) ->
 
 
 def short(names: np.ndarray) -> np.ndarray:
-    """32 bits of each name, enough to tell the names of one text apart in an answer."""
-    return (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    """32 of the upper 48 bits of each name, enough to tell the names of one text apart in an answer."""
+    return ((names >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +193,7 @@ def _later(names: np.ndarray, more: np.ndarray, most: np.ndarray, ids: np.ndarra
 
 
 def _in_several_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, ids, ties = unpack(table, ids=np.int64, ties=np.int64)
+    names, ids, ties = unpack(table, SYMBOL_BYTES, ids=np.int64, ties=np.int64)
     shared, _ = _shared(names, ids, False)
     return ids[shared], ties[shared], short(names[shared])
 
@@ -195,7 +207,7 @@ def _occurring_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _in_a_smaller_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, more, most, ids, ties, places = unpack(table, more=np.uint16, most=np.uint8, ids=np.int64, ties=np.int64, places=np.int32)
+    names, more, most, ids, ties, places = unpack(table, more=np.uint32, most=np.uint16, ids=np.int64, ties=np.int64, places=np.int32)
     later = _later(names, more, most, ids)
     return ids[later], ties[later], places[later]
 
@@ -203,7 +215,7 @@ def _in_a_smaller_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def later_places(packed: DataFrame) -> DataFrame:
     """``(id, tie, payload)``: the places (int32) of names that a text with a smaller id also has.
 
-    The rows also carry 24 further bits of each name (``more`` and ``most``), ``ids``, ``ties`` and ``places``.
+    The rows also carry 48 further bits of each name (``more`` and ``most``), ``ids``, ``ties`` and ``places``.
     """
     return _answers(packed, _in_a_smaller_id, np.int32)
 

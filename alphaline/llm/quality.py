@@ -54,8 +54,7 @@ def _chunk_measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     starts, ends, first = tc.word_spans(data, offsets)
     row_of_word = np.repeat(np.arange(rows), np.diff(first))
     salt = tc.mix(np.arange(1, rows + 1, dtype=np.uint64))
-    prefix = tc.prefix_hash(data)
-    hashes = tc.span_hash(prefix, starts, ends)
+    hashes = tc.span_hashes(data, starts, ends)
 
     code_points = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=code_points[1:])
@@ -81,7 +80,7 @@ def _chunk_measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     word_from, word_to = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
     kept = np.flatnonzero(word_to > word_from)
     line_rows, line_starts, line_ends = line_rows[kept], line_starts[kept], line_ends[kept]
-    twice, later = _repeated(tc.span_hash(prefix, line_starts, line_ends) ^ salt[line_rows], stable=True)
+    twice, later = _repeated(tc.span_hashes(data, line_starts, line_ends) ^ salt[line_rows], stable=True)
     out["n_dup_lines"] = np.bincount(line_rows, later, rows).astype(np.int64)
     chars_before = np.concatenate([[0], np.cumsum(chars)])
     line_chars = chars_before[word_to[kept]] - chars_before[word_from[kept]]

@@ -9,8 +9,10 @@ symbol whose range lies inside a window stands in every occurrence of that windo
 1. The symbols of ``ROUNDS`` rounds are exchanged (packed); a text learns which of its
    symbols a text with another id also has.
 2. A window survives if every symbol determined inside it is shared in this way.
-   Survivors are named by 88 bits of two independent hashes of their words; this check
-   decides (among 10**13 survivors a false match is expected in one of six runs).
+   Survivors are named by 112 bits of two independent hashes of their words; this check
+   decides. Words are hashed whole, long ones by BLAKE2, so no text made for it makes two
+   different words equal (as a polynomial modulo 2**64 lets them be); for 10**13 survivors
+   a false match has a chance of one in 10**8.
 3. The words of the decided windows are removed.
 
 The texts are shuffled once, by id, and the exchange is reused by steps 2 and 3.
@@ -96,7 +98,7 @@ def _with_neighbours(low, high, row, starts, stops, left, right):
 
 def _level(data: np.ndarray, offsets: np.ndarray):
     starts, ends, first_word = tc.word_spans(data, offsets)
-    words = tc.word_hashes(data, starts, ends)
+    words = tc.span_hashes(data, starts, ends)
     return starts, ends, first_word, words, recompress(words, first_word)
 
 
@@ -104,7 +106,7 @@ def _send_symbols(buckets: int):
     limit = packed.FLUSH_NAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets, packed.settle_shared, "ids", "ties", limit=limit)
+        packer = packed.Packer(buckets, packed.settle_shared, "ids", "ties", limit=limit, name_bytes=packed.SYMBOL_BYTES)
         for batch in batches:
             data, offsets = tc.utf8(batch.column(2))
             ids, ties = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(2))
@@ -154,12 +156,12 @@ def _send_windows(buckets: int):
                 at = _survivors(words, first_word, level, told)
                 if not len(at):
                     continue
-                other = tc.window_hash(tc.word_hashes(part, starts, ends, 1), WIDTH, 1)[at]
+                other = tc.window_hash(tc.span_hashes(part, starts, ends, 1), WIDTH, 1)[at]
                 row_of = np.searchsorted(first_word[1:], at, side="right")
                 yield from packer.add(
                     tc.window_hash(words, WIDTH)[at],
-                    (other >> np.uint64(48)).astype(np.uint16),
-                    (other >> np.uint64(40)).astype(np.uint8),
+                    (other >> np.uint64(32)).astype(np.uint32),
+                    (other >> np.uint64(16)).astype(np.uint16),
                     ids[row:stop][row_of],
                     ties[row:stop][row_of],
                     (at - first_word[row_of]).astype(np.int32),

@@ -7,6 +7,7 @@ worker's memory does not depend on the Arrow batch size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,11 @@ def _random_words(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(seed))
 
 
-#: Two independent byte tables give two independent hash families.
-BYTE_TABLES = (_random_words(11, 256), _random_words(1_000_003, 256))
+_BYTE_TABLE = _random_words(11, 256)
+#: Where the two families of span hashes begin.
+_FAMILIES = _random_words(1_000_003, 2)
+#: Spans up to this size are hashed eight bytes at a time, all spans together; longer ones by BLAKE2.
+LANES_BYTES = 64
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +105,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray, table: int = 0) -> np.ndarray:
-    """``p[i]``: the sum of ``table[byte j] * base**j`` for j < i (length n + 1)."""
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """``p[i]``: the sum of ``table[byte j] * base**j`` for j < i (length n + 1), modulo 2**64.
+
+    Only good for choosing places in texts: long strings made for it can collide whatever the base.
+    """
     power, _ = powers(len(data) + 1)
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(BYTE_TABLES[table][data] * power[: len(data)], out=out[1:])
+    np.cumsum(_BYTE_TABLE[data] * power[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A position-free 64-bit hash of each byte span."""
-    _, inverse = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: int = 0) -> np.ndarray:
-    return span_hash(prefix_hash(data, table), starts, ends)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span; the two families are independent."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + _FAMILIES[family])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    open_ = np.flatnonzero((lengths > 0) & (lengths <= LANES_BYTES))
+    done = 0
+    while len(open_):
+        left = np.minimum(lengths[open_] - done, 8)
+        lane = lanes[starts[open_] + done] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)))
+        out[open_] = mix(out[open_] ^ lane)
+        done += 8
+        open_ = open_[lengths[open_] > done]
+    for i in np.flatnonzero(lengths > LANES_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([family])).digest(), "little")
+    return out
 
 
 _COEFFICIENTS = _random_words(77, 4096) | np.uint64(1)

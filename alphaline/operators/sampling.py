@@ -93,8 +93,9 @@ def first_n(rows: DataFrame, eligible: Column, n: int, *order: str) -> DataFrame
     return rows.where(eligible).orderBy(*order).limit(n)
 
 
-#: Keys sampled (by hash, in expectation) to cut a table into ranges.
+#: Keys sampled (by hash, in expectation) to cut a table into ranges: at least so many, and so many for each range.
 RANGE_SAMPLE = 4000
+RANGE_KEYS = 20
 
 
 def _below(value: Column, bounds: list) -> Column:
@@ -105,17 +106,23 @@ def _below(value: Column, bounds: list) -> Column:
     return whole + count(F.slice(F.array(*map(F.lit, bounds)), whole + 1, step))
 
 
+def range_bounds(rows: DataFrame, key: str) -> list:
+    """Keys that cut a table into about equal ranges: as many as shuffle partitions, or as distinct keys in a hash sample where these are fewer."""
+    n, width = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = int((1 << 40) * min(1.0, max(RANGE_SAMPLE, RANGE_KEYS * width) / max(n, 1))) + 1
+    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share).select(key).where(F.col(key).isNotNull()).collect()
+    known = sorted({r[0] for r in picked})
+    width = min(width, len(known))
+    return [known[i * len(known) // width] for i in range(1, width)]
+
+
 def global_rank(rows: DataFrame, key: str) -> DataFrame:
     """``rank`` from 0 by ``key`` over the whole table, without sorting it in one task.
 
     Range bounds come from a hash sample of the keys, once, so every evaluation deals the same
     rows to the same range; ranges are numbered apart and shifted by the counts before them.
     """
-    n = rows.count()
-    share = int(1_000_000 * min(1.0, RANGE_SAMPLE / max(n, 1))) + 1
-    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share).select(key).where(F.col(key).isNotNull()).collect()
-    known, width = sorted({r[0] for r in picked}), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = [known[i * len(known) // width] for i in range(1, width)] if len(known) >= width else []
+    bounds = range_bounds(rows, key)
     bucket = _below(F.col(key), bounds) if bounds else F.lit(0)
     dealt = rows.withColumn("__p", F.when(F.col(key).isNull(), -1).otherwise(bucket))
     local = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__
-from alphaline import catalog, catalog_rules  # noqa: F401  the second registers its queries in the first
+from alphaline import catalog, catalog_items, catalog_rules  # noqa: F401  the last two register their queries in the first
 from tests.conftest import DATA
 from tests.oracle import rows, sql_rows
 

@@ -1,4 +1,4 @@
-"""Registered queries of draws, ordered pairs, archives and shards."""
+"""Registered queries of draws, ordered pairs, archives, shards, versions and upserts."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from alphaline.catalog import SHARES, query
 from alphaline.functions import text as tx
 from alphaline.operators import draws, sampling
-from alphaline.sources import archives, pairs, tarsink
+from alphaline.sources import archives, durable, pairs, tarsink
 from alphaline.sources.scratch import scratch
 from alphaline.sources.tables import table
+from alphaline.streaming import upserts
 
 # --- an epoch's samples
 
@@ -123,3 +124,80 @@ def archive_pairs(spark, sf_dir):
     tarsink.write_shards(_shard_members(spark, sf_dir, 60), path)
     found = archives.folder_pairs(archives.archive_members(spark, path, split_bytes=1 << 18))
     return found.select("stem", F.sha2("image", 256).alias("image"), F.decode("truth", "UTF-8").alias("truth"))
+
+
+# --- versions, audits and upserts
+
+
+def _merged(spark: SparkSession, sf_dir: str, rule: str, first: DataFrame, second: DataFrame, bad: DataFrame, **more) -> DataFrame:
+    """Growth of the second merge, and the keys of each side in the version that is current after a bad one was refused."""
+    base = scratch(spark, "durable")
+    durable.merge(spark, base, first, "doc_id", "replace", {side: n for side, n in first.groupBy("side").count().collect()})
+    sides = durable.merge(spark, base, second, "doc_id", rule, **more)
+    try:
+        durable.merge(spark, base, bad, "doc_id", rule, **more)
+    except durable.Refused:
+        pass
+    told = spark.createDataFrame([(side, n["before"], n["added"], n["overwritten"]) for side, n in sides.items()], "side string, before long, added long, overwritten long")
+    now = durable.read(spark, base).groupBy("side").agg(F.countDistinct("doc_id").alias("now"), F.sum("n_chars").alias("chars"))
+    return told.join(now, "side")
+
+
+def _files(spark: SparkSession, sf_dir: str, sides=("im", "gt", "manifest")) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return docs.select(F.explode(F.array(*map(F.lit, sides))).alias("side"), "doc_id", "n_chars")
+
+
+_MERGE_SQL = """WITH f AS (SELECT unnest({sides}) AS side, doc_id, n_chars FROM documents),
+o AS (SELECT * FROM f WHERE {old}), n AS (SELECT side, doc_id, {chars} AS n_chars FROM f WHERE {new}),
+v AS (SELECT side, doc_id, coalesce(n.n_chars, o.n_chars) AS n_chars, o.doc_id IS NOT NULL AS was, n.doc_id IS NOT NULL AS is_new FROM o FULL JOIN n USING (side, doc_id))
+SELECT side, count(*) FILTER (was) AS before, count(*) FILTER (NOT was) AS added, count(*) FILTER (was AND is_new) AS overwritten, count(*) AS now, CAST(sum(n_chars) AS BIGINT) AS chars FROM v GROUP BY side"""
+_ALL = "['im', 'gt', 'manifest']"
+
+
+@query(_MERGE_SQL.format(sides=_ALL, old="doc_id % 3 <> 0", new="doc_id % 3 = 0", chars="n_chars"))
+def merge_add_only(spark, sf_dir):
+    """Rule of additions: a third of the files comes to the others; a second merge that overwrites is refused."""
+    files = _files(spark, sf_dir)
+    return _merged(spark, sf_dir, "add", files.where("doc_id % 3 <> 0"), files.where("doc_id % 3 = 0"), files.where("doc_id % 5 = 0"))
+
+
+@query(_MERGE_SQL.format(sides="['im', 'gt']", old="doc_id % 3 <> 0", new="doc_id % 2 = 0", chars="n_chars + 1"))
+def merge_by_sides(spark, sf_dir):
+    """Rule of sides: half of the files, old and new; a merge that brings images without truths is refused."""
+    files = _files(spark, sf_dir, ("im", "gt"))
+    half = files.where("doc_id % 2 = 0").withColumn("n_chars", F.col("n_chars") + 1)
+    return _merged(spark, sf_dir, "sides", files.where("doc_id % 3 <> 0"), half, files.where("side = 'im'"))
+
+
+@query(_MERGE_SQL.format(sides="['im', 'gt']", old="doc_id % 3 <> 0", new="doc_id % 4 = 1", chars="n_chars + 2"))
+def merge_in_place(spark, sf_dir):
+    """Rule of overwriting: a quarter of the files again; a merge of keys outside the quarter is refused."""
+    files = _files(spark, sf_dir, ("im", "gt"))
+    quarter = files.where("doc_id % 4 = 1").withColumn("n_chars", F.col("n_chars") + 2)
+    return _merged(spark, sf_dir, "overwrite", files.where("doc_id % 3 <> 0"), quarter, files, allowed=quarter)
+
+
+@query("SELECT unnest(['im', 'gt']) AS side, count(*) AS now, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 3 <> 0")
+def merge_rolled_back(spark, sf_dir):
+    """Rule of replacement: all files instead of two thirds, then back; one with wrong counts is refused."""
+    base, files = scratch(spark, "durable"), _files(spark, sf_dir, ("im", "gt"))
+    for chosen in (files.where("doc_id % 3 <> 0"), files):
+        n = chosen.where("side = 'im'").count()
+        durable.merge(spark, base, chosen, "doc_id", "replace", {"im": n, "gt": n})
+    try:
+        durable.merge(spark, base, files.where("doc_id < 10"), "doc_id", "replace", {"im": n, "gt": n})
+    except durable.Refused:
+        durable.rollback(spark, base)
+    return durable.read(spark, base).groupBy("side").agg(F.count(F.lit(1)).alias("now"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def upsert_stream(spark, sf_dir):
+    """Each user's last event, merged from a stream of five files into hash buckets; a repeated batch changes nothing."""
+    path = scratch(spark, "upserts")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events.repartition(5, "event_id").write.parquet(f"{path}/in")
+    upserts.upsert_stream(spark, f"{path}/in", "event_id long, user_id long, event_type string, value double", "user_id", "event_id", f"{path}/table", f"{path}/mark", buckets=16, files=1)
+    upserts.upsert(spark, f"{path}/table", events.withColumn("value", F.lit(-1.0)), 0, "user_id", "event_id")
+    return upserts.read_table(spark, f"{path}/table")

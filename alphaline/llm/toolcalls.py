@@ -19,7 +19,11 @@ read, so they may have any name. JSON that is broken, nested too deeply to be re
 number that is not finite (NaN, 1e999) makes a plain message (a call's argument text: a string);
 half of a surrogate pair is written as U+FFFD.
 
-Dependencies are levelled one level a round, so a run takes as many rounds as the longest chain.
+Calls and results whose identifier is missing or null link nothing (``unidentified``), and a null among
+a call's dependencies names no call.
+
+Chains of calls with one dependency each are levelled by pointer jumping, in a logarithm of their length;
+calls with several take a round for each of them on the longest path.
 """
 
 from __future__ import annotations
@@ -125,6 +129,11 @@ def _explicit(text: str | None) -> dict | None:
     return found if isinstance(found, dict) and ("tool_calls" in found or "tool_call_id" in found) else None
 
 
+def _text(value: Any) -> str | None:
+    """A name or identifier as text; null stays null."""
+    return None if value is None else str(value)
+
+
 def _call(ids: tuple, part: int, call: dict, schemas: dict[str, dict]) -> tuple:
     arguments = call.get("arguments", {})
     if isinstance(arguments, str):
@@ -132,11 +141,11 @@ def _call(ids: tuple, part: int, call: dict, schemas: dict[str, dict]) -> tuple:
             arguments = parsed(arguments)
         except ValueError:
             pass
-    name, call_id = str(call.get("name")), str(call.get("id"))
+    name, call_id = _text(call.get("name")), _text(call.get("id"))
     wrong = problems(arguments, schemas[name]) if name in schemas else [f"no tool {name}"]
     line = canonical({"type": "call", "id": call_id, "name": name, "arguments": arguments})
     needs = call.get("depends_on")
-    return (*ids, part, "call", call_id, not wrong, "; ".join(wrong) or None, line, [str(x) for x in needs] if isinstance(needs, list) else [])
+    return (*ids, part, "call", call_id, not wrong, "; ".join(wrong) or None, line, [_text(x) for x in needs if x is not None] if isinstance(needs, list) else [])
 
 
 def message_events(conv: int | None, turn: int | None, role: str | None, text: str | None, schemas: dict[str, dict], exchanges: bool) -> list[tuple]:
@@ -153,7 +162,7 @@ def _events(conv: int | None, turn: int | None, role: str | None, text: str | No
     if found is not None and isinstance(found.get("tool_calls"), list):
         return [_call(ids, i, c if isinstance(c, dict) else {}, schemas) for i, c in enumerate(found["tool_calls"])]
     if found is not None and "tool_call_id" in found:
-        call_id = str(found["tool_call_id"])
+        call_id = _text(found["tool_call_id"])
         return [(*ids, 0, "result", call_id, True, None, canonical({"type": "result", "id": call_id, "content": found.get("content")}), [])]
     if exchanges and None not in ids and role == "user":
         return [_call(ids, 0, {"id": f"{conv}:{turn}", "name": "reply", "arguments": {"prompt": text, "turn": turn}}, schemas)]
@@ -182,29 +191,53 @@ def events(messages: DataFrame, schemas: dict[str, dict], *, exchanges: bool) ->
     return typed.mapInArrow(run, EVENTS)
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """``(conv_id, call_id, anchor, level)`` of the calls; those in a cycle are missing."""
-    needs = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("needed"))
-    free = calls.where(F.size("depends_on") == 0).select("conv_id", "call_id", F.col("turn").alias("anchor"), F.lit(0).alias("level"))
-    if needs.limit(1).count() == 0:
-        return free
-    needs = cut(needs, "op4-needs")
-    known = needs.join(calls.select("conv_id", F.col("call_id").alias("needed")).distinct(), ["conv_id", "needed"], "left_semi")
-    waiting = cut(known, "op4-waiting")
-    apart = needs.join(waiting.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("turn").alias("anchor"), F.lit(0).alias("level")).distinct()
-    done = cut(free.union(apart), "op4-levels")
+def _jumped(chain: DataFrame) -> DataFrame:
+    """``(conv_id, call_id, pointer, weight, anchor)``: calls with one dependency, pointed past all others of their kind.
+
+    A round lets each pointer jump as far again, so a chain takes a logarithm of its length. What
+    still moves after that is in, or leads into, a cycle and is left out.
+    """
+    chain = cut(chain, "op4-chain")
+    rounds = chain.count().bit_length() + 1
     while True:
-        reached = done.select("conv_id", F.col("call_id").alias("needed"), "anchor", "level")
-        rest = waiting.join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        ready = rest.join(reached, ["conv_id", "needed"], "left").groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("missing"), F.max(F.greatest("turn", "anchor")).alias("anchor"), (F.max("level") + 2).alias("level")).where("missing = 0").drop("missing")
+        ahead = chain.select("conv_id", F.col("call_id").alias("pointer"), F.col("pointer").alias("further"), F.col("weight").alias("more"), F.col("anchor").alias("later"))
+        joined = chain.join(ahead, ["conv_id", "pointer"], "left")
+        moved = joined.select("conv_id", "call_id", F.coalesce("further", "pointer").alias("pointer"), (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"), F.greatest("anchor", "later").alias("anchor"), F.col("further").isNotNull().alias("moves"))
+        chain, before = cut(moved, "op4-chain"), chain
+        drop_cut(before)
+        rounds -= 1
+        if rounds < 0 or chain.where("moves").limit(1).count() == 0:
+            return chain.where("NOT moves").drop("moves")
+
+
+def _levels(calls: DataFrame) -> DataFrame:
+    """``(conv_id, call_id, anchor, level)`` of the calls; those in a cycle, or behind one, are missing."""
+    needs = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("depends_on")).alias("needed"))
+    ids = calls.select("conv_id", F.col("call_id").alias("needed"))
+    known = cut(needs.join(ids, ["conv_id", "needed"], "left_semi"), "op4-needs")
+    degree = known.groupBy("conv_id", "call_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.min("needed").alias("pointer"))
+    sources = calls.join(known.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("turn").alias("anchor"), F.lit(0).alias("level"))
+    if known.limit(1).count() == 0:
+        return sources
+    jumped = _jumped(degree.where("n = 1").select("conv_id", "call_id", "pointer", F.lit(2).alias("weight"), F.col("turn").alias("anchor")))
+    done = sources
+    past = jumped.select("conv_id", F.col("call_id").alias("needed"), F.col("pointer").alias("root"), F.col("weight").alias("more"), F.col("anchor").alias("later"))
+    several = known.join(degree.where("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi").join(past, ["conv_id", "needed"], "left")
+    edges = cut(several.select("conv_id", "call_id", F.coalesce("root", "needed").alias("root"), (F.coalesce("more", F.lit(0)) + 2).alias("weight"), F.greatest("turn", "later").alias("own"), F.lit(None).cast("bigint").alias("anchor"), F.lit(None).cast("int").alias("level")), "op4-edges")
+    fresh = sources
+    while edges.limit(1).count():  # a round for each call with several dependencies on the longest path
+        found = fresh.select("conv_id", F.col("call_id").alias("root"), F.col("anchor").alias("later"), F.col("level").alias("found"))
+        told, before = cut(edges.join(found, ["conv_id", "root"], "left").select("conv_id", "call_id", "root", "weight", "own", F.coalesce("anchor", "later").alias("anchor"), F.coalesce("level", "found").alias("level")), "op4-edges"), edges
+        drop_cut(before)
+        ready = told.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.greatest("own", "anchor")).alias("anchor"), F.max(F.col("level") + F.col("weight")).alias("level")).where("open = 0").drop("open")
         fresh = cut(ready, "op4-levels")
         if fresh.limit(1).count() == 0:
-            for table in (needs, waiting, fresh):
-                drop_cut(table)
-            return done
-        done, before = cut(done.unionByName(fresh), "op4-levels"), done
-        drop_cut(before)
-        drop_cut(fresh)
+            break
+        done = done.unionByName(fresh)
+        edges = told.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    ends = done.select("conv_id", F.col("call_id").alias("pointer"), F.col("anchor").alias("later"), "level")
+    chained = jumped.join(ends, ["conv_id", "pointer"]).select("conv_id", "call_id", F.greatest("anchor", "later").alias("anchor"), (F.col("level") + F.col("weight")).alias("level"))
+    return done.unionByName(chained)
 
 
 def link(found: DataFrame) -> DataFrame:
@@ -228,7 +261,7 @@ def link(found: DataFrame) -> DataFrame:
         .otherwise("linked")
     )
     linked = joined.select("conv_id", "turn", "part", F.greatest("turn", "anchor").alias("anchor"), F.when(is_call, F.col("level")).otherwise(F.coalesce(F.col("level") + 1, F.lit(0))).alias("level"), "kind", "call_id", status.alias("status"), "valid", "problems", "line")
-    alone = found.where("conv_id IS NULL OR call_id IS NULL").select("conv_id", "turn", "part", F.col("turn").alias("anchor"), F.lit(0).alias("level"), "kind", "call_id", F.lit("message").alias("status"), "valid", "problems", "line")
+    alone = found.where("conv_id IS NULL OR call_id IS NULL").select("conv_id", "turn", "part", F.col("turn").alias("anchor"), F.lit(0).alias("level"), "kind", "call_id", F.when((F.col("kind") != "message") & F.col("call_id").isNull(), "unidentified").otherwise("message").alias("status"), "valid", "problems", "line")
     return linked.unionByName(alone)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -87,8 +88,49 @@ def test_language_equals_brute_force(spark):
     assert all(abs(f[5] - e[5]) < 1e-4 for f, e in zip(found, expected, strict=True))
 
 
-def test_dirty_labels_are_bounded(spark):
+def many_languages(n):
+    """Each language has an alphabet of its own; the first three documents of each are labelled."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(n):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(8)]
+        for copy in range(4):
+            text = " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(25))
+            rows.append((4 * k + copy, text, f"l{k:04d}" if copy < 3 else None, f"s{k % 7}"))
+    return rows
+
+
+def test_three_hundred_languages(spark):
+    rows = many_languages(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    pages = spark.createDataFrame([(1, "http://a.b/", f"<p>{rows[403][1]}</p>")], "page_id long, url string, html string")
+    found = {(r.kind, r.doc_id): r.lang for r in langid.identify(docs, pages).collect()}
+    right = sum(found["document", i] == f"l{i // 4:04d}" for i, *_ in rows)
+    assert right >= 0.98 * len(rows) and found["page", None] == "l0100"
+
+
+def test_the_plan_does_not_grow_with_the_languages(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    nodes = []
+    for n in (3, 60):
+        docs = spark.createDataFrame(many_languages(n), "doc_id long, text string, lang string, source string")
+        plan = langid.identify(docs, pages)._jdf.queryExecution().optimizedPlan().treeString().split("\n")
+        nodes.append(len(plan))
+    assert nodes[0] == nodes[1]
+
+
+def test_blocks_of_languages_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(many_languages(9), "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    rows = lambda: sorted(map(tuple, langid.identify(docs, pages).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 4)
+    assert rows() == whole
+
+
+def test_dirty_labels_are_languages_too(spark):
     rows = [(k, "some words here", f"l{k:03d}", "s") for k in range(100)] + [(200 + k, "le chat dort", "fr", "s") for k in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    langs, table = langid.fit(docs)
-    assert len(langs) == langid.MAX_LANGUAGES and "fr" in langs and table.shape == (langid.MAX_LANGUAGES, 1 << langid.FEATURE_BITS)
+    models = langid.fit(docs)
+    langs = sorted(r.lang for r in models.collect())
+    assert len(langs) == 101 and "fr" in langs and langid.table_of(models, langs[:70]).shape == (70, 1 << langid.FEATURE_BITS)

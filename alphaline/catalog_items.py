@@ -1,17 +1,21 @@
-"""Registered queries of draws, ordered pairs, archives, shards, versions and upserts."""
+"""More registered queries: draws, ordered pairs, archives, shards, versions, upserts, layouts, boxes, monitors."""
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaline.catalog import SHARES, query
+from alphaline.catalog import PIXELS, SHARES, SIDE, alphas, query
+from alphaline.functions import tables
 from alphaline.functions import text as tx
-from alphaline.operators import draws, sampling
+from alphaline.operators import draws, layouts, morphology, sampling, scans
 from alphaline.sources import archives, durable, pairs, tarsink
 from alphaline.sources.scratch import scratch
 from alphaline.sources.tables import table
-from alphaline.streaming import upserts
+from alphaline.streaming import monitor, upserts
 
 # --- an epoch's samples
 
@@ -201,3 +205,78 @@ def upsert_stream(spark, sf_dir):
     upserts.upsert_stream(spark, f"{path}/in", "event_id long, user_id long, event_type string, value double", "user_id", "event_id", f"{path}/table", f"{path}/mark", buckets=16, files=1)
     upserts.upsert(spark, f"{path}/table", events.withColumn("value", F.lit(-1.0)), 0, "user_id", "event_id")
     return upserts.read_table(spark, f"{path}/table")
+
+
+# --- layouts, boxes, table functions, early ends, monitors
+
+
+@query("""WITH i AS (SELECT DISTINCT 'data/' || source || '/Images' AS d, doc_id FROM documents WHERE source IS NOT NULL), g AS (SELECT DISTINCT 'data/' || lang || '/gt' AS d, doc_id FROM documents WHERE lang IS NOT NULL AND doc_id % 3 <> 0),
+bi AS (SELECT d FROM i GROUP BY d HAVING count(*) >= 10), bg AS (SELECT d FROM g GROUP BY d HAVING count(*) >= 10),
+o AS (SELECT i.d AS img_dir, g.d AS gt_dir, count(*) AS overlap FROM i JOIN g USING (doc_id) WHERE i.d IN (FROM bi) AND g.d IN (FROM bg) GROUP BY 1, 2),
+s AS (SELECT *, CAST((CASE WHEN regexp_extract(lower(img_dir), '[^/]*$') LIKE '%image%' THEN 2 ELSE 0 END) + (CASE WHEN regexp_extract(lower(gt_dir), '[^/]*$') LIKE '%gt%' THEN 2 ELSE 0 END) + (CASE WHEN lower(img_dir) LIKE '%train%' THEN 1 ELSE 0 END) AS INTEGER) AS bonus FROM o),
+r AS (SELECT row_number() OVER (ORDER BY overlap DESC, bonus DESC, img_dir, gt_dir) AS rank, * FROM s)
+SELECT CAST(rank AS INTEGER) AS rank, img_dir, gt_dir, overlap, bonus, coalesce((SELECT count(*) = 1 FROM (SELECT DISTINCT overlap, bonus FROM r WHERE rank <= 2)) AND (SELECT count(*) > 1 FROM r), false) AS ambiguous FROM r WHERE rank <= 5""")
+def layout_candidates(spark, sf_dir):
+    """Documents as images in a folder for each source and truths in one for each language."""
+    docs = table(spark, sf_dir, "documents")
+    image = docs.select(F.concat(F.lit("data/"), "source", F.lit("/Images/"), "doc_id", F.lit(".jpg")).alias("path"))
+    truth = docs.where("doc_id % 3 <> 0").select(F.concat(F.lit("data/"), "lang", F.lit("/gt/"), "doc_id", F.lit(".png")).alias("path"))
+    return layouts.discover(layouts.folder_files(image.union(truth), "path", depth=4))
+
+
+@query(f"""WITH {PIXELS}, k AS (SELECT unnest([2, 3, 6]) AS box),
+w AS (SELECT p.vec_id, box, p.pos, min(q.a) AS e, max(q.a) AS d FROM px p, k JOIN px q ON q.vec_id = p.vec_id AND q.y >= p.y - box // 2 AND q.y < p.y - box // 2 + box AND q.x >= p.x - box // 2 AND q.x < p.x - box // 2 + box GROUP BY 1, 2, 3)
+SELECT vec_id, CAST(box AS INTEGER) AS box, CAST(sum(e) AS BIGINT) AS eroded, CAST(sum(d) AS BIGINT) AS dilated, CAST(sum(e * (pos + 1)) AS BIGINT) AS eroded_at, CAST(sum(d * (pos + 1)) AS BIGINT) AS dilated_at FROM w GROUP BY 1, 2""")
+def box_extremes(spark, sf_dir):
+    """Alpha maps eroded and dilated with odd and even boxes; sums, and sums weighted by the pixel's place."""
+    made = morphology.box_extremes(alphas(spark, sf_dir), ["vec_id"], "a8", SIDE, (2, 3, 6))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = lambda c: total(F.transform(c, lambda x, i: x.cast("long") * (i + 1)))
+    return made.select("vec_id", "box", total(F.col("eroded").cast("array<long>")).alias("eroded"), total(F.col("dilated").cast("array<long>")).alias("dilated"), placed("eroded").alias("eroded_at"), placed("dilated").alias("dilated_at"))
+
+
+@query("""WITH c AS (SELECT doc_id AS id, lang, unnest(range(-1, doc_id % 3)) AS k, doc_id % 5 = 0 AS fifth FROM documents),
+n AS (SELECT id, lang, k, id || (CASE WHEN k < 0 THEN '_o00' ELSE '_v' || printf('%02d', k) END) AS copy_id, CASE WHEN k < 0 THEN 'original' ELSE 'variant' END AS kind FROM c WHERE NOT (fifth AND k = 0))
+SELECT id, lang, copy_id, kind, CAST(row_number() OVER (PARTITION BY lang ORDER BY id, k) - 1 AS INTEGER) AS number FROM n""")
+def planned_copies(spark, sf_dir):
+    """A table function from SQL: copies still to be made, numbered inside a language; some are done."""
+    tables.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    done = F.when(F.col("doc_id") % 5 == 0, F.array(F.concat("doc_id", F.lit("_v00"))))
+    rows = docs.select(F.col("doc_id").alias("id"), "lang", (F.col("doc_id") % 3).cast("int").alias("n_copies"), done.alias("done"))
+    return spark.sql("SELECT * FROM plan_copies(TABLE(SELECT * FROM {rows}) PARTITION BY lang ORDER BY id)", rows=rows)
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE n_chars % 4 = 1 ORDER BY sha256('42:' || doc_id), doc_id LIMIT 25")
+def accepted_in_order(spark, sf_dir):
+    """The first 25 documents in hash order that a costly test accepts; slices of the order are judged until there are enough."""
+    path = scratch(spark, "accepted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    judge = lambda rows: rows.where("n_chars % 4 = 1").withColumn("digest", F.sha2("text", 256))
+
+    def store(rows):
+        at = f"{path}/{uuid.uuid4().hex}"
+        rows.select("doc_id", "order", "digest").write.parquet(at)
+        return spark.read.parquet(at)
+
+    return scans.accepted_in_order(docs, "doc_id", 25, judge, store).select("doc_id", "digest")
+
+
+@query("""WITH n AS (SELECT event_type, value, row_number() OVER w AS n, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+g AS (SELECT *, max(CASE WHEN before IS NULL OR value > before THEN n END) OVER (PARTITION BY event_type ORDER BY n) AS last FROM n),
+e AS (SELECT event_type, count(*) AS polls, max(value) AS best, min(CASE WHEN n - last >= 6 THEN n END) AS stalled_at, min(CASE WHEN value >= 90 THEN n END) AS reached FROM g GROUP BY event_type)
+SELECT event_type AS kind, polls, best, stalled_at, CASE WHEN reached <= coalesce(stalled_at, reached) THEN 'done' WHEN stalled_at IS NOT NULL THEN 'stalled' ELSE 'growing' END AS status FROM e""")
+def watched_growth(spark, sf_dir):
+    """A stream of polls in four files: done at 90, stalled after six polls without growth."""
+    path = scratch(spark, "polls")
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [low + (high - low + 1) * k // 4 for k in range(5)]
+    for a, b in itertools.pairwise(cuts):
+        events.where((F.col("event_id") >= a) & (F.col("event_id") < b)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    told = monitor.watch(stream, "event_type", ["ts", "event_id"], "value", target=90.0)
+    keep = lambda batch, no: batch.withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{path}/out") and None
+    told.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/mark").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/out").groupBy("kind").agg(F.max_by(F.struct("polls", "best", "stalled_at", "status"), "batch").alias("r"))
+    return last.select("kind", "r.*")

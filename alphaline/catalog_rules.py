@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import functions as F
 
 from alphaline.catalog import A8, COPIES, RESULTS, SCORED, SIDE, alphas, copies, manifest_rows, query, results, scored_models
@@ -386,11 +389,13 @@ def cut_limits(spark, sf_dir):
     return box.select("p_partkey", lo["begin"].alias("lo_begin"), lo["end"].alias("lo_end"), hi["begin"].alias("hi_begin"), hi["end"].alias("hi_end"))
 
 
-@query("WITH g AS (SELECT unnest(range(0, 40)) AS e) SELECT e AS epoch, t AS total, f AS last, f <> 0 AND t > f AND e > t - f AS reweight FROM g, (SELECT unnest([6, 20, 30]) AS t), (SELECT unnest([0, 10, 25]) AS f)")
+@query("""WITH g AS (SELECT o_orderkey, CAST(o_orderkey % 40 AS BIGINT) AS e, CAST(CASE o_custkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 30 END AS INTEGER) AS t, CAST(CASE (o_orderkey // 40) % 3 WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE 25 END AS INTEGER) AS f FROM orders)
+SELECT o_orderkey, e AS epoch, t AS total, f AS last, f <> 0 AND t > f AND e > t - f AS reweight FROM g""")
 def reweight_window(spark, sf_dir):
-    """The window over whole grids of epochs, totals and lengths; too short runs have none."""
-    grid = spark.range(40).select(F.col("id").alias("epoch"), F.explode(F.array(*map(F.lit, (6, 20, 30)))).alias("total")).select("epoch", "total", F.explode(F.array(*map(F.lit, (0, 10, 25)))).alias("last"))
-    return grid.select("epoch", "total", "last", schedule.reweight(F.col("epoch"), F.col("total"), F.col("last")).alias("reweight"))
+    """The window over epochs, totals and lengths taken from orders; too short runs have none."""
+    key, pick = F.col("o_orderkey"), lambda at, *values: F.element_at(F.array(*map(F.lit, values)), (at % 3 + 1).cast("int"))
+    runs = table(spark, sf_dir, "orders").select("o_orderkey", (key % 40).cast("long").alias("epoch"), pick(F.col("o_custkey"), 6, 20, 30).alias("total"), pick(F.floor(key / 40), 0, 10, 25).alias("last"))
+    return runs.select("o_orderkey", "epoch", "total", "last", schedule.reweight(F.col("epoch"), F.col("total"), F.col("last")).alias("reweight"))
 
 
 # --- generated copies
@@ -450,23 +455,27 @@ def effects_copies(spark, sf_dir):
 # --- files of pairs, results and shards
 
 
-@query("SELECT * FROM (VALUES (0, 'pool', 'skipped', NULL), (1, 'source a', 'failed', 'ValueError: no such source'), (2, 'source b', 'done', NULL), (3, 'manifest', 'done', NULL)) t(step, stage, state, detail) UNION ALL SELECT 4, 'counts', 'done', CAST(count(*) AS VARCHAR) FROM documents")
+@query("""WITH c AS (SELECT d.source, count(*) AS n, count(*) FILTER (l.doc_id IS NOT NULL) AS known FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l USING (doc_id) WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT *, max(n) OVER () AS most FROM c)
+SELECT source AS stage, CASE WHEN n * 4 < most THEN 'skipped' WHEN known = 0 THEN 'failed' ELSE 'done' END AS state, CASE WHEN n * 4 < most OR known > 0 THEN NULL ELSE 'ValueError: ' || n || ' rows, none is known' END AS detail,
+  CASE WHEN n * 4 >= most AND known > 0 THEN n END AS rows FROM s""")
 def staged_job(spark, sf_dir):
-    """A job of stages: a pool that is full, a source that fails and one that does not, a manifest, its counts."""
-
-    def fail():
-        raise ValueError("no such source")
-
-    made: dict[str, str] = {}
-    steps = [
-        stages.Stage("pool", fail, done=lambda: True),
-        stages.Stage("source a", fail, tolerant=True),
-        stages.Stage("source b", lambda: made.update(path=scratch(spark, "staged")), tolerant=True),
-        stages.Stage("manifest", lambda: manifests.append_manifest(entries(spark, sf_dir), made["path"]), guard=lambda: None if "path" in made else "no source"),
-    ]
-    events = stages.run_stages(steps)
-    counts = manifests.read_manifest(spark, made["path"]).agg(F.lit(len(events)).alias("step"), F.lit("counts").alias("stage"), F.lit("done").alias("state"), F.count(F.lit(1)).cast("string").alias("detail"))
-    return stages.stage_log(spark, events).unionByName(counts)
+    """A stage for each source of the documents: small ones count as done, one without a toxic label fails, the others write their manifest."""
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("known", F.lit(1))
+    counts = docs.join(toxic, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known")).collect()
+    path, most = scratch(spark, "staged"), max((r["n"] for r in counts), default=0)
+
+    def write(source: str, n: int, known: int):
+        if not known:
+            raise ValueError(f"{n} rows, none is known")
+        own = docs.where(F.col("source") == source).select("doc_id", "source")
+        own.write.mode("append").parquet(path)
+
+    steps = [stages.Stage(r["source"], functools.partial(write, r["source"], r["n"], r["known"]), done=functools.partial(operator.lt, r["n"] * 4, most), tolerant=True) for r in counts]
+    log = stages.stage_log(spark, stages.run_stages(steps))
+    written = spark.read.schema("doc_id long, source string").option("ignoreMissingFiles", "true").parquet(path).groupBy(F.col("source").alias("stage")).agg(F.count(F.lit(1)).alias("rows"))
+    return log.join(written, "stage", "left").select("stage", "state", "detail", "rows")
 
 
 @query(f"WITH {RESULTS} SELECT model, label, CASE WHEN model = 'binary' THEN mae / 2 ELSE mae END AS mae FROM r WHERE model <> 'binary' OR label < 5")

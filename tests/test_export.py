@@ -112,3 +112,15 @@ def test_an_empty_member_is_a_member(tmp_path):
         archive.addfile(tarfile.TarInfo("e"), io.BytesIO(b""))
     with open(tmp_path / "x.tar", "rb") as stream:
         assert [(name, read()) for name, read in manifests._tar_members(stream)] == [("e", b"")]
+
+
+def test_command_tells_of_failures(spark, tmp_path, capsys):
+    rows = [(k, "hair", [k * 10 + j for j in range(9)], [0] * 9) for k in range(4)] + [(9, "thin", [1, 2, 3], [0, 0, 0])]
+    spark.createDataFrame(rows, "id long, category string, alpha array<int>, gt array<int>").write.parquet(str(tmp_path / "images"))
+    arguments = ["benchmark", "--models", "raw+smooth", "--images", str(tmp_path / "images"), "--out", str(tmp_path / "results")]
+    assert command.main([*arguments, "--width", "9"]) == 1
+    assert "raw+smooth: 1 images failed (ValueError: 3 pixels are no rows of 9)" in capsys.readouterr().err
+    categories = lambda: {r.category for r in spark.read.parquet(str(tmp_path / "results")).collect() if r.category}
+    assert categories() == {"hair"}
+    assert command.main(arguments) == 0 and categories() == {"hair", "thin"}
+    assert "failed" not in capsys.readouterr().err

@@ -56,19 +56,19 @@ def draw_repeats(spark, sf_dir):
 
 
 def _pair_files(spark: SparkSession, sf_dir: str, *columns) -> list[str]:
-    """Documents as Parquet pairs in the order of their ids: two patterns of four files each."""
+    """Documents as Parquet pairs in the order of their ids: two patterns, each of as many files as the session shuffles to."""
     path = scratch(spark, "pairs")
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.struct(F.encode("text", "UTF-8").alias("bytes"), F.col("source").alias("path")).alias("image"), F.encode("source", "UTF-8").alias("mask"), *columns)
     middle = docs.agg(F.floor(F.avg("doc_id"))).first()[0]
     for part, chosen in (("a", F.col("doc_id") <= middle), ("b", F.col("doc_id") > middle)):
-        rows.where(chosen).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(f"{path}/{part}")
+        rows.where(chosen).repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(f"{path}/{part}")
     return [f"{path}/a", f"{path}/b"]
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, 'docs_' || printf('%06d', row_number() OVER (ORDER BY doc_id) - 1) AS stem, strlen(text) AS image_bytes, sha256(source) AS truth FROM documents")
 def ordered_pairs(spark, sf_dir):
-    """Pairs numbered through eight files of two patterns; none is missing."""
+    """Pairs numbered through the files of two patterns; none is missing."""
     files = _pair_files(spark, sf_dir)
     found = pairs.ordered_pairs(spark, "docs", files, expected=table(spark, sf_dir, "documents").count())
     return found.select("number", "stem", F.octet_length("image").cast("long").alias("image_bytes"), F.sha2("truth", 256).alias("truth"))
@@ -198,11 +198,12 @@ def merge_rolled_back(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def upsert_stream(spark, sf_dir):
-    """Each user's last event, merged from a stream of five files into hash buckets; a repeated batch changes nothing."""
+    """Each user's last event, merged from a stream of about five batches into hash buckets; a repeated batch changes nothing."""
     path = scratch(spark, "upserts")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    events.repartition(5, "event_id").write.parquet(f"{path}/in")
-    upserts.upsert_stream(spark, f"{path}/in", "event_id long, user_id long, event_type string, value double", "user_id", "event_id", f"{path}/table", f"{path}/mark", buckets=16, files=1)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events.repartition(width, "event_id").write.parquet(f"{path}/in")
+    upserts.upsert_stream(spark, f"{path}/in", "event_id long, user_id long, event_type string, value double", "user_id", "event_id", f"{path}/table", f"{path}/mark", buckets=16, files=-(-width // 5))
     upserts.upsert(spark, f"{path}/table", events.withColumn("value", F.lit(-1.0)), 0, "user_id", "event_id")
     return upserts.read_table(spark, f"{path}/table")
 
@@ -267,16 +268,16 @@ g AS (SELECT *, max(CASE WHEN before IS NULL OR value > before THEN n END) OVER
 e AS (SELECT event_type, count(*) AS polls, max(value) AS best, min(CASE WHEN n - last >= 6 THEN n END) AS stalled_at, min(CASE WHEN value >= 90 THEN n END) AS reached FROM g GROUP BY event_type)
 SELECT event_type AS kind, polls, best, stalled_at, CASE WHEN reached <= coalesce(stalled_at, reached) THEN 'done' WHEN stalled_at IS NOT NULL THEN 'stalled' ELSE 'growing' END AS status FROM e""")
 def watched_growth(spark, sf_dir):
-    """A stream of polls in four files: done at 90, stalled after six polls without growth."""
+    """A stream of polls that is resumed three times: done at 90, stalled after six polls without growth."""
     path = scratch(spark, "polls")
     events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     cuts = [low + (high - low + 1) * k // 4 for k in range(5)]
-    for a, b in itertools.pairwise(cuts):
-        events.where((F.col("event_id") >= a) & (F.col("event_id") < b)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    told = monitor.watch(stream, "event_type", ["ts", "event_id"], "value", target=90.0)
     keep = lambda batch, no: batch.withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{path}/out") and None
-    told.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/mark").trigger(availableNow=True).start().awaitTermination()
+    for a, b in itertools.pairwise(cuts):
+        events.where((F.col("event_id") >= a) & (F.col("event_id") < b)).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        told = monitor.watch(stream, "event_type", ["ts", "event_id"], "value", target=90.0)
+        told.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/mark").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{path}/out").groupBy("kind").agg(F.max_by(F.struct("polls", "best", "stalled_at", "status"), "batch").alias("r"))
     return last.select("kind", "r.*")

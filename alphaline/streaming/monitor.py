@@ -19,7 +19,8 @@ def watch(polls: DataFrame, kind: str, order: list[str], count: str, target: flo
     ones without a new maximum (``stalled_at`` stays that poll's number), and else ``growing``; the first
     of both ends it, and later polls are only counted. With ``silence`` (such as ``30 minutes``) a kind
     without a poll for that long on the clock becomes ``silent``. Polls of a batch are taken in ``order``,
-    batches as they arrive. Null counts are polls without growth.
+    batches as they arrive. Null counts are polls without growth. A batch's polls of one kind are in one
+    task's memory, so a long backlog should arrive in several batches.
     """
     wait = None if silence is None else int(pd.Timedelta(silence).total_seconds() * 1000)
 

@@ -127,3 +127,34 @@ def test_predict_isolates_errors(spark):
 
     found = {r.id: r for r in kernels.predict(rows, ["id"], "image", load).collect()}
     assert found[1].alpha == [0.1, 0.9] and found[2].error.startswith("ZeroDivisionError")
+
+
+def test_a_stack_is_judged_image_by_image():
+    pred, truth = np.random.default_rng(8).integers(0, 256, (2, 7, 9, 40)) / 255
+    pred[..., 0], truth[..., 1], pred[..., 2] = 0, pred[..., 1], 1
+    each = [(pred[..., k], truth[..., k]) for k in range(40)]
+    for work in (px.conn_error, px.grad_error):
+        assert np.allclose(work(pred, truth), [work(a, b) for a, b in each], rtol=0, atol=1e-12)
+    found = px.largest_component(pred >= 0.5)
+    assert all((found[..., k] == px.largest_component(a >= 0.5)).all() for k, (a, _) in enumerate(each))
+    assert all((px.erode(pred >= 0.1, 1, True)[..., k] == px.erode(a >= 0.1, 1, True)).all() for k, (a, _) in enumerate(each))
+
+
+def test_small_images_are_taken_in_stacks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(k, *rng.integers(0, 256, (2, 64 if k % 3 else 24)).tolist()) for k in range(60)] + [(60, None, [1] * 8), (61, [1] * 8, None), (62, [], [])]
+    pairs = spark.createDataFrame(rows, "k long, p array<int>, g array<int>").coalesce(1)
+    found = {r.k: (r.grad, r.conn) for r in kernels.pair_metrics(pairs, ["k"], "p", "g", 8).collect()}
+    for k, p, g in rows[:60]:
+        a, b = (np.array(x).reshape(-1, 8) / 255 for x in (p, g))
+        assert found[k] == (pytest.approx(px.grad_error(a, b), abs=1e-9), pytest.approx(px.conn_error(a, b), abs=1e-9))
+    assert len(found) == 63 and {found[k] for k in (60, 61, 62)} == {(None, None)}
+    conn = kernels.pair_metrics(pairs, ["k"], "p", "g", 8, ("conn",))
+    assert conn.columns == ["k", "conn"] and {r.k: r.conn for r in conn.collect()} == {k: v[1] for k, v in found.items()}
+    calls = []
+    monkeypatch.setattr(px, "conn_error", lambda a, b: calls.append(a.shape) or np.zeros(a.shape[2]))
+    monkeypatch.setattr(kernels, "STACK_PIXELS", 640)
+    got = []
+    monkeypatch.setattr(type(pairs), "mapInArrow", lambda df, run, schema: got.extend(run(iter([df.toArrow().to_batches()[0]]))))
+    kernels.pair_metrics(pairs.where("k < 60"), ["k"], "p", "g", 8, ("conn",))
+    assert calls == [(3, 8, 20), *[(8, 8, 10)] * 4] and got[0].num_rows == 60

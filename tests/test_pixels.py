@@ -158,3 +158,32 @@ def test_small_images_are_taken_in_stacks(spark, monkeypatch):
     monkeypatch.setattr(type(pairs), "mapInArrow", lambda df, run, schema: got.extend(run(iter([df.toArrow().to_batches()[0]]))))
     kernels.pair_metrics(pairs.where("k < 60"), ["k"], "p", "g", 8, ("conn",))
     assert calls == [(3, 8, 20), *[(8, 8, 10)] * 4] and got[0].num_rows == 60
+
+
+def test_all_metrics_of_stacks(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(k, rng.integers(0, 256, 64).tolist(), (rng.integers(0, 256, 64) * (rng.random(64) < 0.08)).tolist()) for k in range(50)]
+    pairs = spark.createDataFrame(rows, "k long, p array<int>, g array<int>").coalesce(1)
+    found = {(r.k, r.metric): r.value for r in kernels.all_metrics(pairs, ["k"], "p", "g", 8, 1, 12).collect()}
+    expected = {}
+    for k, p, g in rows:
+        a, b = (np.array(x).reshape(8, 8) / 255 for x in (p, g))
+        expected |= {(k, "sad"): np.abs(a - b).sum() / 1000, (k, "mae"): np.abs(a - b).mean(), (k, "mse"): ((a - b) ** 2).mean()}
+        expected |= {(k, "grad"): px.grad_error(a, b), (k, "conn"): px.conn_error(a, b)}
+        rest = a[px.erode(b == 0, 1, False)]
+        if len(rest) >= 12:
+            expected |= {(k, "bg_mae"): rest.mean(), (k, "bg_smear"): (rest > 0.05).mean()}
+    assert 250 < len(expected) < 350 and found == pytest.approx(expected, abs=1e-12)
+    shapes = []
+    monkeypatch.setattr(px, "grad_error", lambda a, b: shapes.append(a.shape) or np.zeros(a.shape[2]))
+    monkeypatch.setattr(type(pairs), "mapInArrow", lambda df, run, schema: list(run(iter(df.toArrow().to_batches()))) and df.selectExpr("k", *(f"0D {n.split()[0]}" for n in schema.split(", ")[1:])))
+    kernels.all_metrics(pairs, ["k"], "p", "g", 8, 1, 12)
+    assert shapes == [(8, 8, 50)]
+
+
+def test_component_sizes_of_stacks(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, rng.integers(0, 256, 63).tolist()) for k in range(40)] + [(40, [0] * 63)]
+    found = {r.k: (r.n_comp, r.largest) for r in kernels.component_sizes(spark.createDataFrame(rows, "k long, a array<int>"), "k", "a", 9, 100).collect()}
+    each = {k: px.sizes(np.array(a).reshape(-1, 9) >= 100) for k, a in rows}
+    assert found == {k: (len(s), s.max(initial=0)) for k, s in each.items()}

@@ -17,3 +17,8 @@ def test_ranks_are_a_numbering(spark):
     found = sampling.global_rank(rows, "k").collect()
     assert [r.k for r in sorted(found, key=lambda r: r["rank"])] == sorted(r.k for r in found)
     assert sorted(r["rank"] for r in found) == list(range(500))
+
+
+def test_shards_from_the_hundredth_on_keep_their_numbers(spark):
+    found = sampling.shards(spark.range(205).withColumnRenamed("id", "k"), "k", 2).collect()
+    assert {r.shard_name: (r.pairs, r.min_key) for r in found} == {f"TRAIN_shard_{s:02d}.tar": (min(2, 205 - 2 * s), 2 * s) for s in range(103)}

@@ -134,3 +134,28 @@ def test_roots_are_compared_by_fingerprint(spark, monkeypatch):
     nearcopies.near_copy_classes(docs)
     named = dict(reversed(held))
     assert named["near-edges"].count() >= 11 and named["near-links"].count() == 0
+
+
+def test_every_shard_is_a_tree_that_its_nodes_search(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+
+    def flip(value, bits):
+        return value ^ sum(1 << int(k) for k in rng.choice(128, bits, replace=False))
+
+    root, other = (int.from_bytes(rng.bytes(16)) for _ in range(2))
+    # node 1 is far from the root, 2 to 22 are near node 1 and far from the root, 23 is near the root
+    prints = [root, other, *(flip(other, 9) for _ in range(20)), other, flip(root, 5)]
+    rows = [(7, k, *np.array([p >> 64, p & nearcopies._WORD], np.uint64).view(np.int64).tolist()) for k, p in enumerate(prints)]
+    spread = spark.createDataFrame([*rows, (8, *rows[3][1:])], "key long, node long, fp0 long, fp1 long").repartition(3)
+
+    def edges():
+        found = nearcopies._trees(spread).repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        return {r.node: (r.hub, r.far) for r in found.mapInArrow(nearcopies._search, "node bigint, hub bigint, far bigint").collect()}
+
+    found = edges()
+    assert len(found) == len(prints) - 1 and found[1] == (0, (root ^ other).bit_count()) and found[22] == (1, 0) and found[23] == (0, 5)
+    assert all(1 <= found[k][0] < k and found[k][1] == (prints[k] ^ prints[found[k][0]]).bit_count() <= 18 for k in range(2, 22))
+    monkeypatch.setattr(nearcopies, "TREE_NODES", 4)
+    assert nearcopies._trees(spread).where("node = 0").count() == 6 == nearcopies._trees(spread).select("part").distinct().count()
+    parts = edges()
+    assert set(parts) == set(found) and all(parts[k][0] < k for k in parts) and parts[23] == (0, 5)

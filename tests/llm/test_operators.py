@@ -462,6 +462,16 @@ def test_suffixes_remove_planted_passages_and_leave_clean_texts(spark):
     assert all(found[k] >= len(passages[k % 3].encode()) for k in range(1, 40, 2))
 
 
+def test_suffixes_of_a_table_in_which_every_text_is_doubled(spark):
+    from tests.llm.cases import words
+
+    # every segment has several owners, and different segments share windows: induction finds nothing new
+    passage = " ".join(words(950, 110))
+    some = [(k, " ".join(words(1950 + k // 2, 80)) + " " + passage + " " + " ".join(words(2950 + k // 2, 80))) for k in range(6)]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(2)
+    assert got(suffixes.repeat_report(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(some)
+
+
 def test_tool_calls_with_hostile_json(spark):
     deep = '{"tool_call_id": "c", "content": ' + "[" * 100_000 + "]" * 100_000 + "}"
     middle = '{"tool_calls": [{"id": "m", "name": "add", "arguments": ' + '{"a":' * 900 + "1" + "}" * 900 + "}]}"
